@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import batch_of, slices, table, texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Segments and pairs a worker remembers; the tables are emptied when full.
-MEMORY = 200_000
+MEMORY = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -105,7 +106,10 @@ class Tokenizer:
         self.byte_ids = {int(t[3:5], 16): i for i, (t, _, k) in enumerate(pieces) if k == BYTE}
         self.unk_id = next(i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN)
         self.end_id = next((i for i, (t, _, k) in enumerate(pieces) if k == CONTROL and t == "</s>"), None)
-        self.decoded = [bytes([int(t[3:5], 16)]) if k == BYTE else "" if k == CONTROL else " ⁇ " if k == UNKNOWN else t.replace(MARK, " ") for t, _, k in pieces]
+        # a byte under 128 is a character wherever it stands; others are gathered into runs
+        self.decoded = [(chr(int(t[3:5], 16)) if int(t[3:5], 16) < 128 else bytes([int(t[3:5], 16)])) if k == BYTE else "" if k == CONTROL else " ⁇ " if k == UNKNOWN else t.replace(MARK, " ") for t, _, k in pieces]
+        #: ids whose piece starts with the mark
+        self.marked = {i for t, i in self.ids.items() if t[0] == MARK}
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece has a blank after another character")
         self.automaton = ahocorasick.Automaton()
@@ -116,6 +120,8 @@ class Tokenizer:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         #: a blank-led segment, or a character that no longer piece holds
         self.cut = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+") if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        #: piece -> the longest piece or single character that is a proper prefix of it
+        self.shorter: dict[str, str] = {t: next(t[:n] for n in range(len(t) - 1, 0, -1) if n == 1 or t[:n] in self.ids) for t in self.ids if len(t) > 1}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -141,34 +147,38 @@ class Tokenizer:
             known = self.pairs[left, right] = self.merge(list(left + right)) == [left, right]
         return known
 
-    def shorter(self, piece: str) -> str | None:
-        """The longest piece (or single character) that is a proper prefix of the piece."""
-        return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.ids), None)
-
     def segment_pieces(self, segment: str) -> list[str]:
         """The segment's pieces, by backtracking."""
+        if segment in self.ids:
+            return [segment]
         size = len(segment)
         longest = [1] * size
         for end, n in self.automaton.iter(segment):
             if n > longest[end - n + 1]:
                 longest[end - n + 1] = n
+        pairs, compatible, shorter = self.pairs, self.compatible, self.shorter
         failed = 0  # bit i: no encoding of the rest from place i fits
         out: list[str] = []
-        at = 0
+        at, last = 0, ""
         piece: str | None = segment[: longest[0]] if size else None
         while piece is not None:
-            last = out[-1] if out else None
             end = at + len(piece)
-            if not failed >> end & 1 and (last is None or self.compatible(last, piece)):
+            fits = not failed >> end & 1 if failed else True
+            if fits and last:
+                fits = pairs.get((last, piece))
+                if fits is None:
+                    fits = compatible(last, piece)
+            if fits:
                 out.append(piece)
-                at = end
+                at, last = end, piece
                 piece = segment[at : at + longest[at]] if at < size else None
-            elif (less := self.shorter(piece)) is not None:
+            elif (less := shorter.get(piece)) is not None:
                 piece = less
             else:
                 failed |= 1 << at
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else ""
         return out
 
     def segment_ids(self, segment: str) -> tuple[tuple[int, ...], str]:
@@ -193,14 +203,23 @@ class Tokenizer:
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
+    def encoded_segments(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        segments = self.segments(text)
+        found = list(map(self.known.get, segments))
+        if None in found:
+            found = [f or self.segment_ids(s) for f, s in zip(found, segments, strict=True)]
+        return found
+
     def encode(self, text: str, end: bool = False) -> list[int]:
-        ids = [i for s in self.segments(text) for i in self.segment_ids(s)[0]]
+        ids = list(chain.from_iterable([f[0] for f in self.encoded_segments(text)]))
         return [*ids, self.end_id] if end else ids
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte runs are read as UTF-8 (each bad byte gives U+FFFD), the mark in front goes."""
         parts = [self.decoded[i] for i in ids]
-        if bytes in set(map(type, parts)):
+        try:
+            text = "".join(parts)
+        except TypeError:  # byte runs outside ASCII
             joined: list[str] = []
             run = b""
             for p in parts:
@@ -214,10 +233,8 @@ class Tokenizer:
             if run:
                 joined.append(_utf8(run))
             text = "".join(joined)
-        else:
-            text = "".join(parts)
         first = next((i for i, p in zip(ids, parts, strict=True) if p), self.unk_id)
-        return text[1:] if self.prefix and first != self.unk_id and self.decoded[first][:1] == " " else text
+        return text[1:] if self.prefix and first in self.marked else text
 
 
 def _utf8(run: bytes) -> str:
@@ -298,13 +315,10 @@ def round_trip_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id",
             out: dict[str, list] = {f.name: [] for f in _DIGEST}
             out["doc_id"] = rows["doc_id"]
             for t in rows["text"]:
-                ids: list[int] = []
-                named = []
-                for s in tok.segments(t):
-                    i, name = tok.segment_ids(s)
-                    ids += i
-                    named.append(name)
+                found = tok.encoded_segments(t)
+                ids = list(chain.from_iterable([f[0] for f in found]))
                 ids.append(tok.end_id)
+                named = [f[1] for f in found]
                 named.append(str(tok.end_id))
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(" ".join(named).encode()).hexdigest())
