@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, quality, tokenizer, toxicity, warc
+from . import decontaminate, exact_dedup, near_dedup, quality, substring_dedup, tokenizer, toxicity, warc
 
 QUERIES = {
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_quality": quality.op5_quality,
