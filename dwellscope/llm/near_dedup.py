@@ -8,8 +8,10 @@ Within a bucket each class is compared with the bucket's smallest and largest
 class; the Jaccard estimate from the registers, corrected for registers that
 collide by chance, drops unlikely pairs, and the rest is decided on the full
 sets. Buckets of four or more classes that are not one component by then are
-searched again in blocks, all classes of different components against each
-other, so no candidate is lost.
+searched again in blocks: all classes of different components are compared with
+each other, in the order of their estimates and on their full sets, until what
+is linked is connected. No candidate is lost, and only connecting links leave a
+task.
 
 With 30 bands of 4 registers a pair at the threshold 0.8 shares no bucket with
 a probability of 0.00000014, and the estimate's margin of 0.2 is over five of
@@ -41,6 +43,8 @@ ROWS, BANDS, MANTISSA = 4, 30, 10
 LEAST_ESTIMATE = 0.6
 #: Classes of a block when a bucket is searched again.
 BLOCK = 2000
+#: Bytes of the full sets of a block, on average.
+BLOCK_BYTES = 16 << 20
 
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)[:, None]
@@ -165,28 +169,52 @@ def _linked(percent: int):
     return run
 
 
-def _searched(key, held):
-    """Pairs of different components within a bucket's two blocks (at most 2 * BLOCK classes or so), as an Arrow table."""
-    out = []
-    sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint16).reshape(held.num_rows, -1)
-    cid, comp, n, block = (held.column(c).to_numpy() for c in ("cid", "comp", "n", "block"))
-    crossing = key[1].as_py() != key[2].as_py()
-    for i in range(held.num_rows):
-        other = np.flatnonzero((comp != comp[i]) & (cid > cid[i] if not crossing else block > block[i]))
-        if len(other):
-            near = other[estimates(sig[other], sig[i], n[other], np.full(len(other), n[i])) >= LEAST_ESTIMATE]
-            if len(near):
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[near], cid[i])), pa.array(np.maximum(cid[near], cid[i]))], schema=_PAIR))
-    return pa.Table.from_batches(out, schema=_PAIR)
+def _searcher(percent: int):
+    def run(key, held):
+        """Links that join components of a bucket's two blocks, each decided on full sets; at most one for each class."""
+        sig = np.frombuffer(b"".join(held.column("sig").to_pylist()), np.uint16).reshape(held.num_rows, -1)
+        cid, comp, n, block = (held.column(c).to_numpy() for c in ("cid", "comp", "n", "block"))
+        sets = [np.frombuffer(m, np.uint64) for m in held.column("members").to_pylist()]
+        crossing = key[1].as_py() != key[2].as_py()
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        out: dict[str, list[int]] = {"a": [], "b": []}
+        for i in range(held.num_rows):
+            fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            other = np.flatnonzero(fits & (block > block[i] if crossing else cid > cid[i]))
+            if not len(other):
+                continue
+            likely = estimates(sig[other], sig[i], n[other], np.full(len(other), n[i]))
+            by = np.argsort(-likely)
+            for j in other[by[: np.count_nonzero(likely >= LEAST_ESTIMATE)]].tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x == y:
+                    continue  # already connected
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    above[max(x, y)] = min(x, y)
+                    out["a"].append(min(int(cid[i]), int(cid[j])))
+                    out["b"].append(max(int(cid[i]), int(cid[j])))
+        return pa.table(out, schema=_PAIR)
+
+    return run
+
+
+def _class_sets(rows: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
+    """(cid, members) of the classes named by ``ids`` (doc_id); only their texts are read again."""
+    sets = rows.join(ids.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("cid"), "text").mapInArrow(_sets(n_words), "cid long, members binary")
+    return written(rows.sparkSession, sets.dropDuplicates(["cid", "members"]))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked on their full sets."""
-    spark = rows.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # the texts of classes in question only; a class's text is that of its smallest id
-    sets = rows.join(ids.hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("cid"), "text").mapInArrow(_sets(n_words), "cid long, members binary")
-    sets = written(spark, sets.dropDuplicates(["cid", "members"]))
+    sets = _class_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n_words)
     one = sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a"))
     two = sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
@@ -209,13 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(spark, components(links))
     # buckets of four or more classes that are still several components
     large = shared.where("size > 3").select("bucket", "cid", "size").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "size", F.coalesce("component", "cid").alias("comp"))
-    split = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = large.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(sig, "cid").select("bucket", "i", "j", "block", "cid", "comp", "n", "sig")
-    more = written(spark, held.groupBy("bucket", "i", "j").applyInArrow(_searched, "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = written(spark, links.unionByName(_verified(rows, more, n_words, percent)))
+    large = written(spark, large.join(classes.select("cid", "n"), "cid"))
+    split = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n").alias("total")).where("x <> y").select("bucket", "total")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
+    open_ = written(spark, large.join(split, "bucket"))
+    if open_.limit(1).count():
+        sets = _class_sets(rows, open_.select(F.col("cid").alias("doc_id")).distinct(), n_words)
+        held = open_.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        held = held.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(sig.drop("n"), "cid").join(sets, "cid")
+        more = held.select("bucket", "i", "j", "block", "cid", "comp", "n", "sig", "members").groupBy("bucket", "i", "j").applyInArrow(_searcher(percent), "a long, b long")
+        links = written(spark, links.unionByName(more.distinct()))
         found = written(spark, components(links))
     named = classes.select("n", "d1", "d2", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("n", "d1", "d2", F.coalesce("component", "cid").alias("class_comp"))
     out = sketches.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").withColumn("component_id", F.coalesce("class_comp", "doc_id"))
