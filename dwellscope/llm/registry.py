@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, quality, substring_dedup, tokenizer, toxicity, warc
+from . import decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, substring_dedup, tokenizer, toxicity, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op3_pii": pii.op3_pii,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_near_dedup": near_dedup.op4_near_dedup,
