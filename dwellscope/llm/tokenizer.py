@@ -35,8 +35,8 @@ from .common import batch_of, slices, table, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Segments and pairs a worker remembers; the tables are emptied when full.
-MEMORY = 500_000
+#: Segments and pairs a task remembers; the tables are emptied when full and when the task ends.
+MEMORY = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -269,6 +269,12 @@ def _of(shared) -> Tokenizer:
     return _WORKER[key]
 
 
+def _emptied(tok: Tokenizer) -> None:
+    """Workers live on after a task; what it remembered would stay in the executor's memory."""
+    tok.known.clear()
+    tok.pairs.clear()
+
+
 _IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -289,6 +295,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         tok = _of(shared)
         for rows in slices(batches, 64):
             yield batch_of({**rows, "ids": [tok.encode(t, end) for t in rows["text"]]}, _IDS)
+        _emptied(tok)
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
@@ -324,6 +331,7 @@ def round_trip_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id",
                 out["ids_sha256"].append(hashlib.sha256(" ".join(named).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(tok.decode(ids).encode()).hexdigest())
             yield batch_of(out, _DIGEST)
+        _emptied(tok)
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
