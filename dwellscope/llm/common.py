@@ -6,7 +6,6 @@ extra columns of the input, whatever their names, never reach a plan.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,8 +81,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-def python_path_note() -> str:
-    """Where this package lies; executors import it by name (install it or pass --py-files)."""
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
