@@ -2,8 +2,9 @@
 
 The model file is read directly. A text becomes one string in which blanks are
 U+2581 and one such mark stands in front; it is cut where no vocabulary piece
-can span (before a mark that follows another character, and around characters
-that stand in no longer piece), and each segment is encoded alone:
+can span (before a mark that follows another character, and between characters
+that no chain of neighbours within pieces connects, such as letters and
+punctuation), and each segment is encoded alone:
 
 * an Aho-Corasick automaton over the pieces gives the longest piece that starts
   at each place;
@@ -97,6 +98,25 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], dict[str, boo
     return pieces, switches
 
 
+def _connected(pieces) -> list[set[str]]:
+    """Sets of characters that stand side by side in pieces, directly or by way of others; marks apart, larger sets first."""
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for piece in pieces:
+        chars = piece.lstrip(MARK)
+        for a, b in zip(chars, chars[1:], strict=False):
+            parent[root(a)] = root(b)
+    sets: dict[str, set[str]] = {}
+    for c in list(parent):
+        sets.setdefault(root(c), set()).add(c)
+    return sorted(sets.values(), key=lambda s: (-len(s), min(s)))
+
+
 class Tokenizer:
     def __init__(self, data: bytes):
         pieces, switches = read_model(data)
@@ -116,35 +136,40 @@ class Tokenizer:
         for t in self.ids:
             self.automaton.add_word(t, len(t))
         self.automaton.make_automaton()
-        inside = {c for t in self.ids if len(t) > 1 for c in t}
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        #: a blank-led segment, or a character that no longer piece holds
-        self.cut = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+") if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        classes = "".join(f"[{''.join(map(re.escape, sorted(c)))}]+|" for c in _connected(self.ids))
+        #: marks, then characters that pieces connect or one that stands alone
+        self.cut = re.compile(f"{MARK}*(?:{classes}[^{MARK}])|{MARK}+", re.DOTALL)
         #: piece -> the longest piece or single character that is a proper prefix of it
         self.shorter: dict[str, str] = {t: next(t[:n] for n in range(len(t) - 1, 0, -1) if n == 1 or t[:n] in self.ids) for t in self.ids if len(t) > 1}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merging by score, leftmost first among equals; for short strings."""
-        symbols = list(symbols)
+    def merges_to(self, left: str, right: str) -> bool:
+        """Whether merging both pieces' characters by score, leftmost first among equals, gives the two pieces; a merge across their border ends it."""
+        symbols = list(left + right)
+        border = len(left)  # symbols of the left piece
+        scores = self.scores
         while True:
             best, where = None, -1
             for i in range(len(symbols) - 1):
-                score = self.scores.get(symbols[i] + symbols[i + 1])
+                score = scores.get(symbols[i] + symbols[i + 1])
                 if score is not None and (best is None or score > best):
                     best, where = score, i
             if best is None:
-                return symbols
+                return symbols == [left, right]
+            if where == border - 1:
+                return False
+            if where < border:
+                border -= 1
             symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both pieces again gives the two pieces."""
+        """Whether ``right`` may follow ``left``; remembered."""
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(list(left + right)) == [left, right]
+            known = self.pairs[left, right] = self.merges_to(left, right)
         return known
 
     def segment_pieces(self, segment: str) -> list[str]:
@@ -154,8 +179,7 @@ class Tokenizer:
         size = len(segment)
         longest = [1] * size
         for end, n in self.automaton.iter(segment):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
+            longest[end - n + 1] = n  # of one start the longer match ends later
         pairs, compatible, shorter = self.pairs, self.compatible, self.shorter
         failed = 0  # bit i: no encoding of the rest from place i fits
         out: list[str] = []
