@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dwellscope.operators import core
+from dwellscope.operators import indicators as ind
 from dwellscope.sources import fixtures as fx
 
 _SEG = """
@@ -106,3 +107,54 @@ rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PA
     "haversine": """SELECT c_custkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(c_custkey % 100 / 1000) / 2), 2) + cos(radians(50.8)) * cos(radians(50.8 + c_custkey % 100 / 1000)) * pow(sin(radians(c_nationkey / 1000) / 2), 2))), 3) AS m FROM customer""",
     "unmatched_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
 }
+
+BANDS = {"am": (7, 10), "day": (6, 23), "evening": (20, 24)}
+
+
+def _days(spark, d, condition):
+    return spark.read.parquet(f"{d}/orders.parquet").where(condition).select(F.to_date("o_orderdate").alias("day")).distinct()
+
+
+def _versions(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.groupBy(F.col("o_orderstatus").alias("route_id"), F.to_date("o_orderdate").alias("day")).agg((F.max("o_orderkey") % 3).alias("version"))
+
+
+def _text(df, *columns):
+    return df.select(*[F.col(c).cast("string").alias(c) if c in columns else c for c in df.columns])
+
+
+QUERIES |= {
+    "estimator_bands": lambda s, d: ind.band_totals(_cube(s, d), BANDS),
+    "line_level": lambda s, d: ind.line_level(_estimate(s, d), _segs(s)).withColumn("line_ref", F.round("line_ref", 6)),
+    "weekday_totals": lambda s, d: ind.weekday_totals(_cube(s, d)),
+    "frequency": lambda s, d: ind.frequency(fx.passages(s, d)).withColumn("per_h", F.round("per_h", 6)),
+    "stalls": lambda s, d: ind.stalls(fx.snapshots(s, d), 3600.0, 20.0, 300.0).withColumn("frozen_s", F.round("frozen_s", 3)),
+    "versions": lambda s, d: _text(ind.version_runs(_versions(s, d)), "day0", "day1"),
+    "nearest_daytype": lambda s, d: _text(ind.nearest_covered(_days(s, d, "o_orderkey % 3 = 0"), _days(s, d, "o_orderkey % 50 = 0")), "day", "covered_day"),
+    "asof_feed": lambda s, d: _text(ind.feed_on(_days(s, d, "o_orderkey % 3 = 0"), _days(s, d, "o_orderkey % 50 = 0"), 14), "day", "feed"),
+    "hotspot_rank": lambda s, d: ind.ranked(_estimate(s, d).withColumn("excess", F.round("excess", 6)), "pattern_uid", "excess", 20, "seg_idx", "hour").select("pattern_uid", "rank", "seg_idx", "hour", "excess"),
+}
+
+_DAYS = """WITH w AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT DISTINCT o_orderdate::DATE AS cov FROM orders WHERE o_orderkey % 50 = 0)
+"""
+ORACLE_SQL |= {
+    "estimator_bands": _SEG + """SELECT pattern_uid, seg_idx, band, sum(obs)::BIGINT AS obs, count(DISTINCT service_date) AS n_days
+FROM cube JOIN (VALUES ('am', 7, 10), ('day', 6, 23), ('evening', 20, 24)) b(band, a, z) ON hour >= a AND hour < z GROUP BY ALL""",
+    "line_level": _SEG + _EST + """, r AS (SELECT pattern_uid, seg_idx, any_value(hi - lo) AS len_m, sum(obs) / nullif(sum(passages), 0) / any_value(hi - lo) AS rate FROM cells JOIN segs USING (pattern_uid, seg_idx) WHERE hour BETWEEN 6 AND 22 GROUP BY ALL),
+l AS (SELECT pattern_uid, quantile_cont(rate, 0.5) AS level FROM r GROUP BY ALL) SELECT pattern_uid, seg_idx, round(level * len_m, 6) AS line_ref FROM r JOIN l USING (pattern_uid)""",
+    "weekday_totals": _SEG + "SELECT (isodow(service_date) - 1)::INT AS dow, hour, pattern_uid, seg_idx, sum(obs)::BIGINT AS obs, count(DISTINCT service_date) AS n_days FROM cube GROUP BY ALL",
+    "frequency": _SEG + """, dd AS (SELECT pattern_uid, count(DISTINCT service_date) AS days FROM pas GROUP BY ALL), ll AS (SELECT pattern_uid, hour, link_idx, sum(n) / any_value(days) AS f FROM pas JOIN dd USING (pattern_uid) GROUP BY ALL)
+SELECT pattern_uid, hour, round(quantile_cont(f, 0.5), 6) AS per_h FROM ll GROUP BY ALL""",
+    "stalls": """WITH p AS (SELECT ts, bool_and(event_id % 7 < 2) AS frozen FROM events GROUP BY ts), q AS (SELECT ts, frozen, least(coalesce((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 20), 3600) AS span,
+sum(CASE WHEN frozen THEN 0 ELSE 1 END) OVER w AS run FROM p WINDOW w AS (ORDER BY ts))
+SELECT min(ts) AS ts0, max(ts) AS ts1, count(*) AS n, round(sum(span), 3) AS frozen_s FROM q WHERE frozen GROUP BY run HAVING sum(span) > 300""",
+    "versions": """WITH v AS (SELECT o_orderstatus AS route_id, o_orderdate::DATE AS day, max(o_orderkey) % 3 AS version FROM orders GROUP BY ALL),
+n AS (SELECT *, CASE WHEN version = lag(version) OVER (PARTITION BY route_id ORDER BY day) THEN 0 ELSE 1 END AS b FROM v), r AS (SELECT *, sum(b) OVER (PARTITION BY route_id ORDER BY day)::BIGINT AS run FROM n)
+SELECT route_id, run, any_value(version) AS version, min(day)::VARCHAR AS day0, max(day)::VARCHAR AS day1, count(*) AS n FROM r GROUP BY route_id, run""",
+    "nearest_daytype": _DAYS + """SELECT day::VARCHAR AS day, cov::VARCHAR AS covered_day FROM w, c
+QUALIFY row_number() OVER (PARTITION BY day ORDER BY greatest(isodow(day), 5) <> greatest(isodow(cov), 5), abs(day - cov), cov) = 1""",
+    "asof_feed": _DAYS + "SELECT w.day::VARCHAR AS day, CASE WHEN w.day - max(cov) <= 14 THEN max(cov)::VARCHAR END AS feed FROM w LEFT JOIN c ON cov <= w.day GROUP BY w.day",
+    "hotspot_rank": _SEG + _EST + """, x AS (SELECT pattern_uid, seg_idx, hour, round(obs / passages - ref, 6) AS excess FROM cells JOIN refs USING (pattern_uid, seg_idx))
+SELECT pattern_uid, (row_number() OVER (PARTITION BY pattern_uid ORDER BY excess DESC, seg_idx, hour))::INT AS rank, seg_idx, hour, excess FROM x WHERE excess IS NOT NULL QUALIFY rank <= 20""",
+}
