@@ -98,3 +98,18 @@ def ranked(df: DataFrame, group: str, value: str, k: int, *order: str) -> DataFr
     """The k rows of each group with the largest value, numbered from 1; nulls do not take part."""
     w = W.partitionBy(group).orderBy(F.desc(value), *order)
     return df.where(F.col(value).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def free_flow(cells: DataFrame, q: float = 0.2, hours: tuple[int, int] = (5, 24)) -> DataFrame:
+    """Free-flow reference of each segment: the q quantile over hours of positions a passage."""
+    opp = F.when(F.col("hour").between(hours[0], hours[1] - 1), F.try_divide("obs", "passages"))
+    return cells.groupBy("pattern_uid", "seg_idx").agg(F.percentile(opp, F.lit(q)).alias("free_flow"))
+
+
+def merged_stretches(stretches: DataFrame, group: str) -> DataFrame:
+    """Stretches (j0, j1, both included) of any lists, those that overlap or touch made one."""
+    w = W.partitionBy(group).orderBy("j0", "j1")
+    reach = F.max("j1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce((F.col("j0") > reach + 1).cast("int"), F.lit(1))
+    numbered = stretches.select(group, "j0", "j1", new.alias("new")).withColumn("part", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(group, "part").agg(F.min("j0").alias("j0"), F.max("j1").alias("j1")).drop("part")

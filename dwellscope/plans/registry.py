@@ -158,3 +158,21 @@ QUALIFY row_number() OVER (PARTITION BY day ORDER BY greatest(isodow(day), 5) <>
     "hotspot_rank": _SEG + _EST + """, x AS (SELECT pattern_uid, seg_idx, hour, round(obs / passages - ref, 6) AS excess FROM cells JOIN refs USING (pattern_uid, seg_idx))
 SELECT pattern_uid, (row_number() OVER (PARTITION BY pattern_uid ORDER BY excess DESC, seg_idx, hour))::INT AS rank, seg_idx, hour, excess FROM x WHERE excess IS NOT NULL QUALIFY rank <= 20""",
 }
+
+
+def _stretches(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    j0 = (F.col("event_id") * 7919 % 100003).alias("j0")
+    return e.select("user_id", j0, (F.col("event_id") * 7919 % 100003 + F.col("event_id") % 400).alias("j1"))
+
+
+QUERIES |= {
+    "ref_freeflow": lambda s, d: ind.free_flow(_estimate(s, d)).withColumn("free_flow", F.round("free_flow", 6)),
+    "merge_stretches": lambda s, d: ind.merged_stretches(_stretches(s, d), "user_id"),
+}
+ORACLE_SQL |= {
+    "ref_freeflow": _SEG + _EST + "SELECT pattern_uid, seg_idx, round(quantile_cont(CASE WHEN hour BETWEEN 5 AND 23 THEN obs / nullif(passages, 0) END, 0.2), 6) AS free_flow FROM cells GROUP BY ALL",
+    "merge_stretches": """WITH t AS (SELECT user_id, event_id * 7919 % 100003 AS j0, event_id * 7919 % 100003 + event_id % 400 AS j1 FROM events),
+n AS (SELECT *, CASE WHEN j0 > max(j1) OVER (PARTITION BY user_id ORDER BY j0, j1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS b FROM t),
+p AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY j0, j1 ROWS UNBOUNDED PRECEDING) AS part FROM n) SELECT user_id, min(j0) AS j0, max(j1) AS j1 FROM p GROUP BY user_id, part""",
+}
