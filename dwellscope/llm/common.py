@@ -6,6 +6,7 @@ extra columns of the input, whatever their names, never reach a plan.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,10 +74,20 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
-    """Python lists of at most ``rows`` rows, so that a batch of long texts stays bounded."""
+    """Python lists of at most ``rows`` rows, so that a batch of long texts stays bounded; free memory goes back at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows).to_pydict()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give the worker's free memory back to the system; Spark keeps idle workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:

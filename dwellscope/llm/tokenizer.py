@@ -32,7 +32,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batch_of, slices, table, texts
+from .common import batch_of, release_memory, slices, table, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -297,6 +297,7 @@ def _emptied(tok: Tokenizer) -> None:
     """Workers live on after a task; what it remembered would stay in the executor's memory."""
     tok.known.clear()
     tok.pairs.clear()
+    release_memory()
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
