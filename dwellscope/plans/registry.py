@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellscope.operators import core
 from dwellscope.operators import indicators as ind
+from dwellscope.plans import more
 from dwellscope.sources import fixtures as fx
 
 _SEG = """
@@ -176,3 +177,6 @@ ORACLE_SQL |= {
 n AS (SELECT *, CASE WHEN j0 > max(j1) OVER (PARTITION BY user_id ORDER BY j0, j1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS b FROM t),
 p AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY j0, j1 ROWS UNBOUNDED PRECEDING) AS part FROM n) SELECT user_id, min(j0) AS j0, max(j1) AS j1 FROM p GROUP BY user_id, part""",
 }
+
+QUERIES |= more.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL
