@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dwellscope.operators import core
+from dwellscope.operators import core, grids
+from dwellscope.operators import patterns as pt
 from dwellscope.operators import statistics as st
 from dwellscope.operators import tracks as tr
 from dwellscope.sources import fixtures as fx
@@ -39,7 +40,7 @@ def _intervals(s, d):
 
 def _resampled(s, d):
     e = _read(s, d, "events").select("ts", F.col("user_id").alias("track_id"), F.col("value").alias("s_m"), F.lit("P").alias("pattern_uid"), F.hour("ts").alias("hour"), "event_id")
-    return tr.resample(e, 3600, 43200).select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "hour")
+    return tr.resample(e, 3600, 43200).select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_unix"), "hour")
 
 
 def _crossings(s, d):
@@ -141,7 +142,7 @@ sum(obs) FILTER (half = 1) / sum(passages) FILTER (half = 1) AS x1 FROM daily JO
     "resample": """WITH f AS (SELECT event_id, user_id, epoch_us(ts) AS t, value, lag(epoch_us(ts)) OVER w AS p, lead(epoch_us(ts)) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
 k AS (SELECT event_id, t, CASE WHEN t - p BETWEEN 1 AND 43200000000 THEN p END AS p, CASE WHEN n - t BETWEEN 1 AND 43200000000 THEN n END AS n FROM f),
 g AS (SELECT *, unnest(range((t - 43200000000) // 3600000000, (t + 43200000000) // 3600000000 + 1)) * 3600000000 AS g FROM k WHERE p IS NOT NULL OR n IS NOT NULL)
-SELECT event_id, g // 1000000 AS at, (hour(make_timestamp(t)) + g // 3600000000 - t // 3600000000)::INT AS hour FROM g
+SELECT event_id, g // 1000000 AS at_unix, (hour(make_timestamp(t)) + g // 3600000000 - t // 3600000000)::INT AS hour FROM g
 WHERE CASE WHEN g <= t THEN CASE WHEN p IS NULL THEN g < t AND 2 * g >= 3 * t - n ELSE g > p AND 2 * (g - p) >= t - p END ELSE CASE WHEN n IS NULL THEN 2 * g <= 3 * t - p ELSE g <= n AND 2 * (g - t) < n - t END END""",
     "crossings": """WITH a AS (SELECT user_id AS track_id, ts, value AS s, CASE WHEN lag(ts) OVER w IS NULL OR (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 > 86400 OR lag(value) OVER w - value > 500 THEN 1 ELSE 0 END AS b
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)), r AS (SELECT *, sum(b) OVER (PARTITION BY track_id ORDER BY ts, s)::BIGINT AS run FROM a),
@@ -158,3 +159,74 @@ SELECT terminus_id, p * 6 + 5 AS last_stop FROM s QUALIFY row_number() OVER (PAR
     "spatial_candidates": """WITH f AS (SELECT c_custkey AS fix_id, 50 + c_custkey % 97 / 1000 AS y, 4 + c_custkey % 89 / 1000 AS x FROM customer), p AS (SELECT s_suppkey AS point_id, 50 + s_suppkey % 83 / 1000 AS v, 4 + s_suppkey % 79 / 1000 AS u FROM supplier),
 d AS (SELECT fix_id, point_id, 2 * 6371008.8 * asin(sqrt(pow(sin(radians(v - y) / 2), 2) + cos(radians(y)) * cos(radians(v)) * pow(sin(radians(u - x) / 2), 2))) AS m FROM f, p) SELECT fix_id, point_id, round(m, 3) AS m FROM d WHERE m <= 400""",
 }
+
+
+def _stop_links(s):
+    return fx.links(s).withColumn("head", F.lit(38.0) + F.col("link_idx")).withColumn("tail", F.lit(36.0))
+
+
+def _bins(df, *columns):
+    return df.select("pattern_uid", "link_idx", "k", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "seg_idx", *columns)
+
+
+def _zoned(s, d):
+    parts = _read(s, d, "part").select("p_partkey", (F.col("p_size") % 3).cast("string").alias("pattern_uid"), (F.col("p_partkey") % 1500).cast("double").alias("x0_m"), (F.col("p_partkey") % 1500 + 30).cast("double").alias("x1_m"))
+    stops = s.range(12).select((F.col("id") % 3).cast("string").alias("pattern_uid"), (F.col("id") * 130.0).alias("s_m"))
+    return grids.tagged(parts, stops, 30.0, 60.0)
+
+
+def _sets(s, d, condition):
+    return _read(s, d, "events").where(condition).select("user_id", (F.col("event_id") % 300).alias("j"))
+
+
+def _mains(s, d):
+    o = _read(s, d, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 4).cast("int").alias("v"))
+    seqs = s.createDataFrame([(0, ["A", "B", "C", "D", "E"]), (1, ["B", "C", "D"]), (2, ["A", "C", "D", "E"]), (3, ["C", "D"])], "v int, stop_ids array<string>")
+    days = o.groupBy("day", "v").agg(F.count(F.lit(1)).alias("n_trips")).join(seqs, "v").withColumn("pattern_uid", F.concat(F.lit("p"), F.col("v").cast("string")))
+    return pt.main_patterns(days, ["day"])
+
+
+def _speeds(s, d):
+    x = _daily(s, d).groupBy(*_KEYS).agg((F.sum("obs") / F.sum("passages")).alias("opp"), F.sum("obs").alias("n")).join(fx.links(s), _KEYS)
+    return x.select(*_KEYS, pt.speed_kmh(F.col("opp"), F.col("len_m"), F.col("n")).alias("kmh"))
+
+
+def _combined(s, d):
+    p = fx.placed(s, d)
+    keys = ["service_date", "pattern_uid", "link_idx"]
+    feed = p.where("hour < 14").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_feed"))
+    return pt.combined_passages(feed, p.where("hour >= 10").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")), keys).withColumn("service_date", F.col("service_date").cast("string"))
+
+
+QUERIES |= {
+    "segment_grid_fixed": lambda s, d: _bins(grids.fixed_grid(fx.links(s), 30.0, 15.0)),
+    "segment_grid_stops": lambda s, d: _bins(grids.stops_grid(_stop_links(s), 30.0), "zone"),
+    "zone_tag": lambda s, d: _zoned(s, d).select("p_partkey", "zone"),
+    "tolerant_jaccard": lambda s, d: _rounded(pt.tolerant_overlap(_sets(s, d, "event_id % 3 = 0"), _sets(s, d, "event_id % 5 = 0"), "user_id"), "overlap"),
+    "choose_main": lambda s, d: _text_day(_mains(s, d)),
+    "speed_scale": lambda s, d: _rounded(_speeds(s, d), "kmh"),
+    "passages_combine": _combined,
+}
+
+_LINKS = """WITH links AS (SELECT * FROM (VALUES (0, 200.0::DOUBLE), (1, 310.0), (2, 340.0), (3, 250.0), (4, 300.0)) l(link_idx, len_m), (VALUES ('F'), ('O'), ('P')) p(pattern_uid))
+"""
+ORACLE_SQL |= {
+    "segment_grid_fixed": _LINKS + """, e AS (SELECT pattern_uid, link_idx, len_m, unnest(range(0, 13)) AS i FROM links), f AS (SELECT pattern_uid, link_idx, 15.0 + 30 * i AS x FROM e WHERE 15 + 30 * i BETWEEN 1 AND len_m - 1
+UNION ALL SELECT pattern_uid, link_idx, 0.0 FROM links UNION ALL SELECT pattern_uid, link_idx, len_m FROM links), b AS (SELECT *, lead(x) OVER (PARTITION BY pattern_uid, link_idx ORDER BY x) AS hi FROM f)
+SELECT pattern_uid, link_idx, (row_number() OVER (PARTITION BY pattern_uid, link_idx ORDER BY x) - 1)::INT AS k, x::DOUBLE AS lo, hi::DOUBLE AS hi, (row_number() OVER (PARTITION BY pattern_uid ORDER BY link_idx, x) - 1)::INT AS seg_idx FROM b WHERE hi IS NOT NULL""",
+    "segment_grid_stops": _LINKS + """, m AS (SELECT *, 38.0 + link_idx AS h, round_even((len_m - 74 - link_idx) / 30, 0)::INT AS n FROM links), f AS (SELECT pattern_uid, link_idx, len_m, h, h + (len_m - 36 - h) / n * i AS x FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM m)
+UNION ALL SELECT pattern_uid, link_idx, len_m, h, 0.0 FROM m UNION ALL SELECT pattern_uid, link_idx, len_m, h, len_m FROM m), b AS (SELECT *, lead(x) OVER (PARTITION BY pattern_uid, link_idx ORDER BY x) AS hi FROM f)
+SELECT pattern_uid, link_idx, (row_number() OVER (PARTITION BY pattern_uid, link_idx ORDER BY x) - 1)::INT AS k, round(x, 6)::DOUBLE AS lo, round(hi, 6)::DOUBLE AS hi,
+(row_number() OVER (PARTITION BY pattern_uid ORDER BY link_idx, x) - 1)::INT AS seg_idx, CASE WHEN x = 0 OR hi = len_m THEN 'stop' ELSE 'running' END AS zone FROM b WHERE hi IS NOT NULL""",
+    "zone_tag": """SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM range(0, 12) r(i) WHERE i % 3 = p_size % 3 AND p_partkey % 1500 < i * 130 + 60 AND p_partkey % 1500 + 30 > i * 130 - 30) THEN 'stop' ELSE 'running' END AS zone FROM part""",
+    "tolerant_jaccard": """WITH a AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_id % 3 = 0), b AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_id % 5 = 0),
+h AS (SELECT user_id, EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND abs(b.j - a.j) <= 1)::INT AS hit FROM a UNION ALL SELECT user_id, EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND abs(b.j - a.j) <= 1)::INT FROM b)
+SELECT user_id, round(avg(hit), 6) AS overlap FROM h GROUP BY user_id""",
+    "choose_main": """WITH s AS (SELECT * FROM (VALUES (0, 'ABCDE'), (1, 'BCD'), (2, 'ACDE'), (3, 'CD')) s(v, q)), o AS (SELECT o_orderdate::DATE AS day, o_custkey % 4 AS v, count(*) AS n FROM orders GROUP BY ALL), d AS (SELECT *, max(n) OVER (PARTITION BY day) AS top FROM o JOIN s USING (v)),
+c AS (SELECT a.day, a.v, a.n, length(a.q) AS len, sum(b.n * (length(b.q) - 1)) AS score FROM d a JOIN d b ON a.day = b.day AND contains(a.q, b.q) WHERE a.n >= 0.25 * a.top GROUP BY ALL)
+SELECT day::VARCHAR AS day, 'p' || v AS pattern_uid, score::BIGINT AS score FROM c QUALIFY row_number() OVER (PARTITION BY day ORDER BY score DESC, n DESC, len DESC, v) = 1""",
+    "speed_scale": _DAILY + """SELECT pattern_uid, link_idx, round(CASE WHEN sum(obs) >= 3 THEN least(80.0, 3.6 * any_value(len_m) / greatest(sum(obs) / sum(passages) * 20, 1e-9)) END, 6) AS kmh
+FROM daily JOIN (VALUES (0, 200.0::DOUBLE), (1, 310.0), (2, 340.0), (3, 250.0), (4, 300.0)) l(link_idx, len_m) USING (link_idx) GROUP BY ALL""",
+    "passages_combine": """WITH p AS (SELECT o_orderdate::DATE AS service_date, o_orderstatus AS pattern_uid, ((l_linenumber - 1) % 5)::INT AS link_idx, l_orderkey % 24 AS hour FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT service_date::VARCHAR AS service_date, pattern_uid, link_idx, count(*) FILTER (hour < 14) AS n_feed, count(*) FILTER (hour >= 10) AS n_events, greatest(count(*) FILTER (hour < 14), count(*) FILTER (hour >= 10)) AS n FROM p GROUP BY ALL""",
+}
