@@ -37,7 +37,7 @@ def test_registered_queries(spark):
         pytest.skip("no test data")
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
-    for t in ("customer", "orders", "lineitem", "events"):
+    for t in ("customer", "orders", "lineitem", "events", "part", "supplier"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, query in registry.QUERIES.items():
         got = query(spark, DATA)
