@@ -145,3 +145,19 @@ def test_licenses(spark):
     docs = table(spark, [(1, "text\nReleased under the MIT License."), (2, None), (3, "some plain words\n\nmore of them")])
     got = {r["doc_id"]: (r["n_paragraphs"], r["families"]) for r in license_scan.licenses(docs).collect()}
     assert got == {1: (2, "MIT"), 2: (0, ""), 3: (2, "")}
+
+
+def test_license_blocks():
+    texts = ["a" * 10, "b" * (license_scan.BLOCK_CHARS + 5), "c", "d" * license_scan.BLOCK_CHARS, "e"]
+    blocks = list(license_scan._blocks(texts))
+    assert [x for b in blocks for x in b] == texts
+    assert all(len(b) == 1 or sum(map(len, b)) <= license_scan.BLOCK_CHARS for b in blocks)
+    assert list(license_scan._blocks([])) == []
+
+
+def test_license_sample_is_bounded_and_distinct(spark):
+    docs = spark.createDataFrame([(i, "same line\n" + f"line {i}\n\n") for i in range(300)], "doc_id long, text string")
+    got = license_scan._sample(docs, 20)
+    assert len(got) == len(set(got)) == 20
+    assert got == license_scan._sample(docs.repartition(7), 20)
+    assert license_scan._sample(docs.limit(0), 20) == []
