@@ -362,14 +362,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # of equal runs one is sorted with the different runs of its anchor
         "sort", (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("rid", "place") == F.col("one")))
     )
-    lists = wanted.dropDuplicates(["rid", "place"]).groupBy("rid").agg(F.collect_list(F.struct("key", "run", "place", "before", "after", "sort")).alias("wanted"))
+    # an anchor near the border of two pieces has a run in each
+    lists = wanted.dropDuplicates(["rid", "place", "before", "after"]).groupBy("rid").agg(F.collect_list(F.struct("key", "run", "place", "before", "after", "sort")).alias("wanted"))
     packed = rows.where(F.octet_length("text") >= WINDOW).select("doc_id", "rid", "text").mapInArrow(_packed, "doc_id long, rid long, z binary")
     got = written(spark, packed.join(lists.hint("shuffle_hash"), "rid").select("rid", "z", "wanted").mapInArrow(_runs, _RUN_DDL))
     # equal runs: of several rows with one digest all windows repeat
     same = got.groupBy("key", "run", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     whole = got.select("key", "run", "digest", "rid", "place", "before", "after").join(same, ["key", "run", "digest"])
     spans = whole.select("rid", (F.col("place") - F.col("before")).cast("int").alias("s"), (F.col("place") - F.col("after") + WINDOW).cast("int").alias("e"))
-    sort = got.where("data is not null").dropDuplicates(["rid", "place"])
+    sort = got.where("data is not null").dropDuplicates(["rid", "place", "before", "after"])
     kinds = repeated.groupBy("key").agg(F.max("kinds").alias("kinds")).where("kinds > 1")
     sort = written(spark, sort.join(kinds, "key").select("key", "data", "before", "after", "rid", "place", "kinds"))
     small = sort.where(F.col("kinds") <= LARGE).drop("kinds")

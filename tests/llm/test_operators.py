@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 
 from dwellscope.llm import decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, substring_dedup, toxicity, warc
 from dwellscope.llm.common import shared_dir
@@ -102,6 +104,26 @@ def test_substring_large_groups(spark, rows, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.without_repeats(table(spark, rows)).collect()) == want
 
 
+def test_substring_piece_borders(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [letters(n) for n in (400, 420, 450, 500, 600, 900)]
+    rows = [(i, letters(rng.randrange(900)) + p + letters(rng.randrange(900))) for i, p in enumerate(shared * 6)]
+    monkeypatch.setattr(substring_dedup, "PIECE", 500)
+    cloudpickle.register_pickle_by_value(substring_dedup)  # workers get the patched value
+    try:
+        got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in substring_dedup.without_repeats(table(spark, rows)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+    count = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
+    for i, t in rows:
+        gone = [False] * len(t)
+        for s in range(len(t) - 399):
+            if count[t[s : s + 400]] > 1:
+                gone[s : s + 400] = [True] * 400
+        assert got[i] == ("".join(c for c, g in zip(t, gone, strict=True) if not g).encode(), sum(gone))
+
+
 def test_decontaminate_blocks(spark):
     words = "a b c d e f g h i j k l m n".split()
     docs = table(spark, [(1, "x " + " ".join(words) + " y"), (2, "Short ITEM here"), (3, None), (4, "nothing"), (2, "Short ITEM here")])
