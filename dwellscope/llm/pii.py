@@ -4,10 +4,12 @@ Base patterns (e-mail, IPv4 address, payment card, telephone number) give seed
 entities. The word before each seed, and before every other identifier-like
 token (one with digits), is a lexical pattern. Patterns and instances form a
 bipartite graph that is scored in rounds: a pattern's score is the mean score
-of the instances it introduces, an instance's score that of its best pattern;
-seeds keep 1. A pattern that introduces at least ``min_seeds`` different seeds
-with a score of ``min_score`` or more is trusted, and the identifier-like
-tokens it introduces are reported as ``context`` spans beside the base ones.
+of the instances it introduces; seeds score 1, other instances as the best
+pattern trusted before this one, or 0 without any. A pattern that introduces at
+least ``min_seeds`` different seeds with a score of ``min_score`` or more is
+trusted from then on, with that score; rounds end when no pattern is added. The
+identifier-like tokens of trusted patterns are reported as ``context`` spans
+beside the base ones.
 
 Positions are code points, ends exclusive. Matches are found by splitting and
 extracting with the same expression; those that fail a check (address parts,
@@ -35,7 +37,7 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 KINDS = (("email", _EMAIL, "@"), ("ip", _IP, "."), ("card", _CARD, None), ("phone", _PHONE, "+"))
 CONTEXT_CHARS, MIN_LENGTH = 40, 6
-ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.8
+MIN_SEEDS, MIN_SCORE = 5, 0.8
 
 
 def _digits(m: Column) -> Column:
@@ -120,21 +122,25 @@ def extracted(docs: DataFrame) -> DataFrame:
     )
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+def trusted_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """(pattern, score) of the patterns that introduce personal data, from the pattern-instance graph of all documents."""
     spark = found.sparkSession
     rows = found.select(F.explode("seeds").alias("x"), F.lit(1.0).alias("seed")).unionByName(found.select(F.explode("candidates").alias("x"), F.lit(0.0).alias("seed")))
-    edges = rows.where("x.pattern <> ''").groupBy(F.col("x.pattern").alias("pattern"), F.sha2(F.lower("x.m"), 256).alias("value")).agg(F.max("seed").alias("seed"))
+    edges = rows.where("x.pattern <> ''").groupBy(F.col("x.pattern").alias("pattern"), F.sha2(F.lower("x.m"), 256).alias("value")).agg(F.max("seed").alias("score"))
     edges = written(spark, edges)
-    support = edges.groupBy("pattern").agg(F.sum("seed").alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
-    graph = written(spark, edges.join(support, "pattern"))  # patterns with too few seeds can never be trusted
-    scored = graph.withColumn("score", F.col("seed"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("p"))
-        best = graph.join(patterns, "pattern").groupBy("value").agg(F.greatest(F.max("seed"), F.max("p")).alias("score"))
-        scored = written(spark, graph.join(best, "value"))
-    return scored.groupBy("pattern").agg(F.avg("score").alias("score")).where(F.col("score") >= min_score)
+    support = edges.groupBy("pattern").agg(F.sum("score").alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
+    scored = written(spark, edges.join(support, "pattern").select("pattern", "value", "score"))  # patterns with too few seeds can never be trusted
+    trusted = None
+    while True:
+        # no pattern here is trusted yet, so none adds to the scores of its own instances
+        means = scored.groupBy("pattern").agg(F.avg("score").alias("mean"))
+        new = written(spark, means.where(F.col("mean") >= min_score).withColumnRenamed("mean", "p"))
+        trusted = new if trusted is None else trusted.unionByName(new)
+        if new.isEmpty():
+            return trusted.withColumnRenamed("p", "score")
+        gains = scored.join(new, "pattern").groupBy("value").agg(F.max("p").alias("gain"))
+        rest = scored.join(new, "pattern", "left_anti").join(gains, "value", "left")
+        scored = written(spark, rest.select("pattern", "value", F.greatest("score", F.coalesce("gain", F.lit(0.0))).alias("score")))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -156,6 +156,13 @@ def test_pii_learns_contexts(spark):
     assert found[99] == ["QX-99812-Z"] and found[98] == []
 
 
+def test_pii_pattern_does_not_support_itself(spark):
+    rows = [(i, f"more about user{i}@mail.example and") for i in range(5)] + [(100 + i, f"more about AB-10{i:02}-X and") for i in range(10)]
+    # nor do two patterns with the same instances support one another
+    rows += [(200 + i, f"then near host{i}@mail.example and") for i in range(5)] + [(300 + i, f"then near AB-10{i:02}-X and") for i in range(10)]
+    assert all(not r["context"] for r in pii.personal_data(table(spark, rows)).collect())
+
+
 def test_classifiers_without_labels(spark, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = table(spark, rows)
