@@ -6,8 +6,8 @@ token (one with digits), is a lexical pattern. Patterns and instances form a
 bipartite graph that is scored in rounds: a pattern's score is the mean score
 of the instances it introduces; seeds score 1, other instances as the best
 pattern trusted before this one, or 0 without any. A pattern that introduces at
-least ``min_seeds`` different seeds with a score of ``min_score`` or more is
-trusted from then on, with that score; rounds end when no pattern is added. The
+least ``min_seeds`` different instances of score ``min_score`` or more (seeds or
+found in earlier rounds) and has that score itself is trusted from then on, with that score; rounds end when no pattern is added. The
 identifier-like tokens of trusted patterns are reported as ``context`` spans
 beside the base ones.
 
@@ -128,13 +128,13 @@ def trusted_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_score: fl
     rows = found.select(F.explode("seeds").alias("x"), F.lit(1.0).alias("seed")).unionByName(found.select(F.explode("candidates").alias("x"), F.lit(0.0).alias("seed")))
     edges = rows.where("x.pattern <> ''").groupBy(F.col("x.pattern").alias("pattern"), F.sha2(F.lower("x.m"), 256).alias("value")).agg(F.max("seed").alias("score"))
     edges = written(spark, edges)
-    support = edges.groupBy("pattern").agg(F.sum("score").alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
-    scored = written(spark, edges.join(support, "pattern").select("pattern", "value", "score"))  # patterns with too few seeds can never be trusted
+    enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
+    scored = written(spark, edges.join(enough, "pattern").select("pattern", "value", "score"))  # patterns with too few instances can never be trusted
     trusted = None
     while True:
         # no pattern here is trusted yet, so none adds to the scores of its own instances
-        means = scored.groupBy("pattern").agg(F.avg("score").alias("mean"))
-        new = written(spark, means.where(F.col("mean") >= min_score).withColumnRenamed("mean", "p"))
+        means = scored.groupBy("pattern").agg(F.avg("score").alias("p"), F.sum((F.col("score") >= min_score).cast("int")).alias("support"))
+        new = written(spark, means.where((F.col("p") >= min_score) & (F.col("support") >= min_seeds)).select("pattern", "p"))
         trusted = new if trusted is None else trusted.unionByName(new)
         if new.isEmpty():
             return trusted.withColumnRenamed("p", "score")

@@ -163,6 +163,16 @@ def test_pii_pattern_does_not_support_itself(spark):
     assert all(not r["context"] for r in pii.personal_data(table(spark, rows)).collect())
 
 
+def test_pii_found_values_support_other_patterns(spark):
+    rows = [(i, f"word contact: user{i}@mail.example and more") for i in range(150)]
+    for i in range(7):
+        rows += [(200 + i, f"word contact: QX-9981{i}-Z and"), (300 + i, f"then badge: QX-9981{i}-Z and"), (400 + i, f"some pass: KV-5521{i}-B and")]
+    rows += [(500 + i, f"then badge: KV-5521{i}-B and") for i in (0,)] + [(600, "once other KV-55219-B and")]
+    found = {r["doc_id"]: [x["m"] for x in r["context"]] for r in pii.personal_data(table(spark, rows)).collect()}
+    assert found[300] == ["QX-99810-Z"] and found[500] == ["KV-55210-B"]
+    assert found[401] == [] and found[600] == []
+
+
 def test_classifiers_without_labels(spark, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = table(spark, rows)
