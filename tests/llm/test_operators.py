@@ -186,6 +186,14 @@ def test_licenses(spark):
     assert got == {1: (2, "MIT"), 2: (0, ""), 3: (2, "")}
 
 
+def test_licenses_wrapped_and_several_in_a_line(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software), to deal"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    docs = table(spark, [(1, "x\n\n" + mit), (2, bsd), (3, "Released under the MIT License. Licensed under the Apache License, Version 2.0.\nmore"), (4, mit.replace("\n", "\n\n"))])
+    got = {r["doc_id"]: (r["n_paragraphs"], r["n_licensed"], r["families"]) for r in license_scan.licenses(docs).collect()}
+    assert got == {1: (3, 1, "MIT"), 2: (3, 1, "BSD-3-Clause"), 3: (2, 1, "Apache-2.0,MIT"), 4: (2, 0, "")}
+
+
 def test_license_blocks():
     texts = ["a" * 10, "b" * (license_scan.BLOCK_CHARS + 5), "c", "d" * license_scan.BLOCK_CHARS, "e"]
     blocks = list(license_scan._blocks(texts))
