@@ -194,6 +194,21 @@ def test_licenses_wrapped_and_several_in_a_line(spark):
     assert got == {1: (3, 1, "MIT"), 2: (3, 1, "BSD-3-Clause"), 3: (2, 1, "Apache-2.0,MIT"), 4: (2, 0, "")}
 
 
+def test_licenses_that_differ_in_few_words(spark):
+    head = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    work = "This work is licensed under the GNU {}General Public License, version {}."
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = [
+        (head.format("", ";", 2), "GPL-2.0"), (head.format("", ",", 3), "GPL-3.0"), (head.format("Affero ", ",", 3), "AGPL-3.0"),
+        (work.format("", 1), "GPL-1.0"), (work.format("", 2), "GPL-2.0"), (work.format("", 3), "GPL-3.0"), (work.format("Lesser ", 3), "LGPL-3.0"), (work.format("Lesser ", 2.1), "LGPL-2.1"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        (cc.format(""), "CC-BY-4.0"), (cc.format("-NonCommercial"), "CC-BY-NC-4.0"), (cc.format("-NoDerivatives"), "CC-BY-ND-4.0"),
+        (work.format("", 4), ""), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ""),
+    ]
+    got = {r["doc_id"]: r["families"] for r in license_scan.licenses(table(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(texts)}
+
+
 def test_license_blocks():
     texts = ["a" * 10, "b" * (license_scan.BLOCK_CHARS + 5), "c", "d" * license_scan.BLOCK_CHARS, "e"]
     blocks = list(license_scan._blocks(texts))
