@@ -39,8 +39,8 @@ def lower_az(col):
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine), a temporary
-    folder is made and set for this session.
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder is made and set
+    for this session on a local master; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -50,21 +50,13 @@ def _own_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="dwellscope-"))
         known = sc.getCheckpointDir()
     return known
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure DataFrame.checkpoint() has a folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root:
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            _own_dir(spark)
-
-
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it: cuts lineage and survives lost executors."""
     path = shared_dir(spark)
@@ -73,6 +65,34 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Keys that hold over one part in HEAVY of all rows are spread; there are at most HEAVY of them.
+HEAVY = 10_000
+#: A spread key's rows are dealt so that a share holds about one part in SHARES of all rows.
+SHARES = 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right on ``keys``; the rows of frequent keys of ``left`` are dealt over several tasks.
+
+    ``right`` has few rows for a key. ``counts`` holds the keys and ``n``, the
+    rows of ``left`` that have them. Keys with more than one part in HEAVY of
+    the sum of ``n`` (at most HEAVY keys, so their broadcast is bounded) get
+    shares; their rows of ``right`` are repeated for each share. ``left`` must
+    come in a fixed order (a scan and maps), as a row's place gives its share.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    shares = F.least(F.ceil(F.col("n") * SHARES / F.lit(max(total, 1))), F.col("n")).cast("int")
+    heavy = F.broadcast(counts.where(F.col("n") * HEAVY > total).select(*[F.col(k).alias(f"__{k}") for k in keys], shares.alias("__shares")))
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = [df[k].eqNullSafe(heavy[f"__{k}"]) for k in keys]
+        return df.join(heavy, on, "left").drop(*[f"__{k}" for k in keys]).withColumn("__shares", F.coalesce("__shares", F.lit(1)))
+
+    dealt = marked(left.withColumn("__place", F.monotonically_increasing_id())).withColumn("__share", F.pmod("__place", "__shares").cast("int")).drop("__place", "__shares")
+    copies = marked(right).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
+    return dealt.join(copies, [*keys, "__share"], how).drop("__share")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
     """Python lists of at most ``rows`` rows, so that a batch of long texts stays bounded; free memory goes back at the end."""
     for batch in batches:

@@ -5,10 +5,10 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from dwellscope.llm import decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, substring_dedup, toxicity, warc
-from dwellscope.llm.common import shared_dir
+from dwellscope.llm.common import shared_dir, spread_join
 
 SCHEMA = "doc_id long, text string, score double, key long, rid long, n long"
 
@@ -98,30 +98,53 @@ def test_substring(spark, rows):
         assert r["n_spans"] == sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
 
 
-def test_substring_large_groups(spark, rows, monkeypatch):
+def test_substring_large_groups(spark, rows):
     want = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.without_repeats(table(spark, rows)).collect())
-    monkeypatch.setattr(substring_dedup, "LARGE", 0)
-    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.without_repeats(table(spark, rows)).collect()) == want
+    by_digest = substring_dedup.without_repeats(table(spark, rows), sizes=substring_dedup.Sizes(large=0))
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in by_digest.collect()) == want
 
 
-def test_substring_piece_borders(spark, monkeypatch):
+def brute_cut(texts, window):
+    """What is left of each text, and how much goes, by looking at each window."""
+    count = Counter(t[s : s + window] for t in texts for s in range(len(t) - window + 1))
+    for t in texts:
+        gone = [False] * len(t)
+        for s in range(len(t) - window + 1):
+            if count[t[s : s + window]] > 1:
+                gone[s : s + window] = [True] * window
+        yield "".join(c for c, g in zip(t, gone, strict=True) if not g), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+
+
+@pytest.mark.parametrize("sizes", [{"piece": 500}, {"window": 40, "gram": 20, "piece": 64}, {"window": 40, "gram": 20, "large": 0}])
+def test_substring_piece_borders(spark, sizes):
+    z = substring_dedup.Sizes(**sizes)
     rng = random.Random(5)
     letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    shared = [letters(n) for n in (400, 420, 450, 500, 600, 900)]
+    shared = [letters(n * z.window // 400) for n in (400, 420, 450, 500, 600, 900)]
     rows = [(i, letters(rng.randrange(900)) + p + letters(rng.randrange(900))) for i, p in enumerate(shared * 6)]
-    monkeypatch.setattr(substring_dedup, "PIECE", 500)
-    cloudpickle.register_pickle_by_value(substring_dedup)  # workers get the patched value
-    try:
-        got = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"]) for r in substring_dedup.without_repeats(table(spark, rows)).collect()}
-    finally:
-        cloudpickle.unregister_pickle_by_value(substring_dedup)
-    count = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
-    for i, t in rows:
-        gone = [False] * len(t)
-        for s in range(len(t) - 399):
-            if count[t[s : s + 400]] > 1:
-                gone[s : s + 400] = [True] * 400
-        assert got[i] == ("".join(c for c, g in zip(t, gone, strict=True) if not g).encode(), sum(gone))
+    # periodic texts have an anchor at each byte; a passage may repeat within one text only
+    rows += [(100, "a" * 3000), (101, "xyz" * 700), (102, letters(300) + "ab" * 500 + letters(50)), (103, "".join(2 * [letters(z.window + 3)])), (104, ""), (105, "a" * (z.window - 1))]
+    got = {r["doc_id"]: (bytes(r["kept"]).decode(), r["n_removed"], r["n_spans"]) for r in substring_dedup.without_repeats(table(spark, rows), sizes=z).collect()}
+    for (i, _), want in zip(rows, brute_cut([t for _, t in rows], z.window), strict=True):
+        assert got[i] == want, i
+
+
+def test_substring_periodic_text_gives_few_rows():
+    cols, (s, e) = substring_dedup.text_anchors(b"ab" * 100_000)
+    assert len(cols[0]) < 10 and len(s) == 1 and e[0] - s[0] > 199_000
+
+
+def test_substring_empty_table(spark):
+    assert substring_dedup.without_repeats(table(spark, [])).count() == 0
+
+
+def test_spread_join(spark):
+    left = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    right = counts.where("k % 2 = 1").select("k", (F.col("k") * 2).alias("v"))
+    want = sorted(map(tuple, left.join(right, "k").select("id", "v").collect()))
+    assert sorted(map(tuple, spread_join(left, right, ["k"], counts).select("id", "v").collect())) == want
+    assert spread_join(left, right, ["k"], counts, "left").count() == 5000
 
 
 def test_decontaminate_blocks(spark):
