@@ -74,19 +74,20 @@ SHARES = 1_000
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
     """left joined with right on ``keys``; the rows of frequent keys of ``left`` are dealt over several tasks.
 
-    ``right`` has few rows for a key. ``counts`` holds the keys and ``n``, the
-    rows of ``left`` that have them. Keys with more than one part in HEAVY of
+    ``right`` has few rows for a key. ``counts`` holds the keys, or some of them,
+    and ``n``, the rows of ``left`` that have them. Keys with more than one part in HEAVY of
     the sum of ``n`` (at most HEAVY keys, so their broadcast is bounded) get
     shares; their rows of ``right`` are repeated for each share. ``left`` must
     come in a fixed order (a scan and maps), as a row's place gives its share.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     shares = F.least(F.ceil(F.col("n") * SHARES / F.lit(max(total, 1))), F.col("n")).cast("int")
-    heavy = F.broadcast(counts.where(F.col("n") * HEAVY > total).select(*[F.col(k).alias(f"__{k}") for k in keys], shares.alias("__shares")))
+    known = [k for k in keys if k in counts.columns]
+    heavy = F.broadcast(counts.where(F.col("n") * HEAVY > total).select(*[F.col(k).alias(f"__{k}") for k in known], shares.alias("__shares")))
 
     def marked(df: DataFrame) -> DataFrame:
-        on = [df[k].eqNullSafe(heavy[f"__{k}"]) for k in keys]
-        return df.join(heavy, on, "left").drop(*[f"__{k}" for k in keys]).withColumn("__shares", F.coalesce("__shares", F.lit(1)))
+        on = [df[k].eqNullSafe(heavy[f"__{k}"]) for k in known]
+        return df.join(heavy, on, "left").drop(*[f"__{k}" for k in known]).withColumn("__shares", F.coalesce("__shares", F.lit(1)))
 
     dealt = marked(left.withColumn("__place", F.monotonically_increasing_id())).withColumn("__share", F.pmod("__place", "__shares").cast("int")).drop("__place", "__shares")
     copies = marked(right).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
