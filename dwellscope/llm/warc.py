@@ -5,7 +5,8 @@ distinct payload once (compressed, under its SHA-1 and SHA-256), ``headers``
 holds for each record its exact header bytes (WARC header, blank line and HTTP
 header) and the payload's digests. Payloads are equal only if both digests
 are, so a SHA-1 collision never merges two of them. Reading joins the headers
-with the payloads and rebuilds every record; lengths and digests are checked.
+with the payloads and rebuilds every record; lengths and both digests are
+checked. Records of frequent payloads are dealt over tasks.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, the one with
 the largest page_id is a ``response``, the others ``revisit`` it; smaller ones
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, shared_dir, slices, table
+from .common import batch_of, shared_dir, slices, spread_join, table
 
 MIN_BYTES = 0
 #: The date that record headers carry, unless another is given.
@@ -108,11 +109,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     # equal payloads meet in partial aggregates first, so a hot payload moves once for each task
     rows.mapInArrow(_pages(True), _PAYLOAD_DDL).groupBy("sha1", "sha256").agg(
-        F.max("page_id").alias("keep_id"), F.first("n").alias("n"), F.first("payload").alias("payload")
+        F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("records"), F.first("n").alias("n"), F.first("payload").alias("payload")
     ).write.parquet(f"{path}/payloads")
-    keepers = pages.sparkSession.read.parquet(f"{path}/payloads").select("sha1", "sha256", "keep_id")
+    keepers = pages.sparkSession.read.schema("sha1 binary, sha256 binary, keep_id long, records long").parquet(f"{path}/payloads")
     meta = rows.mapInArrow(_pages(False), _META_DDL)
-    typed = meta.join(keepers, ["sha1", "sha256"]).withColumn("revisit", (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep_id")))
+    typed = spread_join(meta, keepers.drop("records"), ["sha1", "sha256"], keepers.select("sha1", "sha256", F.col("records").alias("n"))).withColumn("revisit", (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep_id")))
     typed.mapInArrow(_headers(date), "page_id long, sha1 binary, sha256 binary, header binary").write.parquet(f"{path}/headers")
 
 
@@ -134,11 +135,11 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tup
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, records in _rebuilt(batches):
         out: dict[str, list] = {f.name: [] for f in _RECORD}
-        for page_id, (header, payload) in zip(rows["page_id"], records, strict=True):
+        for page_id, strong, (header, payload) in zip(rows["page_id"], rows["sha256"], records, strict=True):
             fields, http = parse_header(header)
             revisit = fields["warc-type"] == "revisit"
             digest = digest_text(hashlib.sha1(payload).digest())
-            if fields["warc-payload-digest"] != f"sha1:{digest}" or int(fields["content-length"]) != len(http) + (0 if revisit else len(payload)):
+            if hashlib.sha256(payload).digest() != strong or fields["warc-payload-digest"] != f"sha1:{digest}" or int(fields["content-length"]) != len(http) + (0 if revisit else len(payload)):
                 raise ValueError(f"record of page {page_id} is damaged")
             refers = fields.get("x-refers-to-page")
             for k, v in (("page_id", page_id), ("payload_bytes", len(payload)), ("payload_digest", digest), ("record_type", fields["warc-type"]), ("refers_to", int(refers) if refers not in (None, "None") else None)):
@@ -154,8 +155,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema("page_id long, sha1 binary, sha256 binary, header binary").parquet(f"{path}/headers")
-    payloads = spark.read.schema("sha1 binary, sha256 binary, payload binary").parquet(f"{path}/payloads")
-    return headers.join(payloads, ["sha1", "sha256"]).select("page_id", "header", "payload")
+    payloads = spark.read.schema("sha1 binary, sha256 binary, records long, payload binary").parquet(f"{path}/payloads")
+    joined = spread_join(headers, payloads.drop("records"), ["sha1", "sha256"], payloads.select("sha1", "sha256", F.col("records").alias("n")))
+    return joined.select("page_id", "sha256", "header", "payload")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
