@@ -6,13 +6,17 @@ item (or the whole item, if it has fewer words) enters a hash set that goes to
 all executors; each document is scanned once, word windows found by hash are
 compared word by word, and the words they cover are hits.
 
-The broadcast set is only sent if the benchmark's texts measure at most
-``max_bytes`` (checked first); a larger benchmark is handled in blocks of that
-size, one scan for each block, and the hits of a document are merged.
+The set is arrays: word numbers of all items and, for each window, its hash,
+place and item. It is only sent if the benchmark's words measure at most
+``max_bytes`` (checked first); a larger benchmark is cut into sections of
+SECTION windows, so that no item exceeds a block, and handled in blocks of
+about that size, one scan for each block; the hits of a document are merged.
 
 Defined cases: null and wordless texts have no words and no hits; items
 without words are ignored; an item that occurs twice counts by its item_id;
-null item_ids are ignored; repeated document rows are each reported.
+null item_ids are ignored; repeated document rows are each reported; texts of
+any length are scanned whole; an empty table of documents gives no rows, an
+empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, table, texts
+from .common import batch_of, lower_az, slices, table, texts
 
 #: Words of a window.
 N_WORDS = 10
-#: Bytes of benchmark text whose windows are broadcast at once.
+#: Bytes of benchmark words whose windows are broadcast at once.
 MAX_BYTES = 16 << 20
+#: Windows of a section of a benchmark item.
+SECTION = 4096
 
 #: Separators become blanks, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,35 +49,48 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of every run of n ids, modulo 2**64."""
-    out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = out * np.uint64(_MIX) + ids[j : j + len(out)].astype(np.uint64)
-    return out
-
-
 class Windows:
-    """The benchmark's windows: a word table, and for each window length the hashes with their exact windows."""
+    """The benchmark's windows: a word table, all items' word numbers, and for each window length the sorted hashes with place and item."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N_WORDS):
         self.vocabulary: dict[bytes, int] = {}
-        exact: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        parts, places, at = [], {}, 0
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint32)
+            if not len(ids):
                 continue
             size = min(n, len(ids))
-            for at in range(len(ids) - size + 1):
-                exact.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(item_id)
+            places.setdefault(size, []).append((at, len(ids) - size + 1, item_id))
+            parts.append(ids)
+            at += len(ids)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         self.by_size = {}
-        for size, windows in exact.items():
-            hashes = window_hashes(np.array(list(windows), dtype=np.uint64).reshape(-1), size)[::size]
-            by_hash: dict[int, list[tuple[tuple[int, ...], set[int]]]] = {}
-            for h, w in zip(hashes.tolist(), windows.items(), strict=True):
-                by_hash.setdefault(h, []).append(w)
-            self.by_size[size] = (np.sort(hashes), by_hash)
+        for size, runs in places.items():
+            begin, count, item = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+            start = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            item = np.repeat(item, count)
+            hashes = self._hashes(self.flat, start, size)
+            by = np.lexsort((item, hashes))
+            hashes, start, item = hashes[by], start[by], item[by]
+            again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1]))  # a window that its item repeats
+            keep = np.ones(len(hashes), bool)
+            keep[again[self._equal(self.flat, start[again + 1], start[again], size)] + 1] = False
+            self.by_size[size] = (hashes[keep], start[keep].astype(np.int32), item[keep])
+
+    @staticmethod
+    def _hashes(ids: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                out = out * np.uint64(_MIX) + ids[start + j].astype(np.uint64)
+        return out
+
+    def _equal(self, ids: np.ndarray, at: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """Whether the windows at ``at`` of ids and at ``start`` of the benchmark are the same words."""
+        out = np.ones(len(at), bool)
+        for j in range(size):
+            out &= ids[at + j] == self.flat[start + j]
+        return out
 
     def scan(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[int]]]:
         """For each document: covered word intervals [start, end), merged, and the items found."""
@@ -81,29 +100,28 @@ class Windows:
             starts.append(len(flat))
             flat += [get(w, 0) for w in doc]
             flat.append(0)
-        ids = np.array(flat, dtype=np.uint64)
+        ids = np.array(flat, dtype=np.uint32)
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         hits: list[list[tuple[int, int]]] = [[] for _ in docs]
         items: list[set[int]] = [set() for _ in docs]
-        for size, (ordered, by_hash) in self.by_size.items():
+        for size, (ordered, places, item) in self.by_size.items():
             if len(ids) < size:
                 continue
             known = np.flatnonzero(unknown[size:] == unknown[:-size])  # windows of benchmark words only
             if not len(known):
                 continue
-            hashes = np.zeros(len(known), dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(size):
-                    hashes = hashes * np.uint64(_MIX) + ids[known + j]
-            place = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
-            found = known[ordered[place] == hashes]
-            owners = np.searchsorted(starts, found, side="right") - 1
-            for at, d in zip(found.tolist(), owners.tolist(), strict=True):
-                window = tuple(flat[at : at + size])
-                for exact, ids_of in by_hash[int(hashes[np.searchsorted(known, at)])]:
-                    if exact == window:
-                        hits[d].append((at - starts[d], at - starts[d] + size))
-                        items[d] |= ids_of
+            hashes = self._hashes(ids, known, size)
+            low = np.searchsorted(ordered, hashes)
+            found = np.flatnonzero(ordered[np.minimum(low, len(ordered) - 1)] == hashes)
+            low, count = low[found], np.searchsorted(ordered, hashes[found], side="right") - low[found]
+            at = np.repeat(known[found], count)
+            entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            same = self._equal(ids, at, places[entry], size)
+            at, owners = at[same], item[entry[same]]
+            doc = np.searchsorted(starts, at, side="right") - 1
+            for a, d, i in zip(at.tolist(), doc.tolist(), owners.tolist(), strict=True):
+                items[d].add(i)
+                hits[d].append((a - starts[d], a - starts[d] + size))
         return [(merged(h), i) for h, i in zip(hits, items, strict=True)]
 
 
@@ -117,12 +135,16 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[DataFrame]:
-    """The benchmark in blocks whose texts measure about max_bytes at most, by a hash of the item's id."""
-    items = bench.select(bench[id_col].cast("long").alias("item_id"), bench[text_col].cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _blocks(bench: DataFrame, id_col: str, text_col: str, n_words: int, max_bytes: int) -> list[DataFrame]:
+    """(item_id, text) of the benchmark in blocks that measure about max_bytes at most; items of many words come in overlapping sections."""
+    found = F.regexp_extract_all(lower_az(bench[text_col].cast("string")), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    items = bench.select(bench[id_col].cast("long").alias("item_id"), found.alias("ws")).where("item_id is not null and size(ws) > 0")
+    last = F.floor(F.greatest(F.size("ws") - n_words, F.lit(0)) / SECTION).cast("int")
+    sections = items.withColumn("no", F.explode(F.sequence(F.lit(0), last)))
+    sections = sections.select("item_id", "no", F.array_join(F.slice("ws", F.col("no") * SECTION + 1, F.lit(SECTION + n_words - 1)), " ").alias("text"))
+    total = sections.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 if total <= max_bytes else 2 * (1 + total // max_bytes)
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [sections] if n == 1 else [sections.where(F.pmod(F.xxhash64("item_id", "no"), F.lit(n)) == i) for i in range(n)]
 
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
@@ -154,10 +176,10 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N_WORDS, max_bytes: int = M
     rows = texts(docs)
 
     def found_in(block: DataFrame | None, with_text: bool) -> DataFrame:
-        items = [] if block is None else [(r[0], r[1]) for r in block.collect()]  # bounded: see _blocks
+        items = [] if block is None else [(r["item_id"], r["text"]) for r in block.collect()]  # bounded: see _blocks
         return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(Windows(items, n)), with_text), _HITS_DDL)
 
-    blocks = _blocks(bench, "item_id", "text", max_bytes)
+    blocks = _blocks(bench, "item_id", "text", n, max_bytes)
     if len(blocks) == 1:
         return found_in(blocks[0], keep_text)
     # several blocks: rows are told apart by id and text; equal rows have equal hits and come out as often as they came in
