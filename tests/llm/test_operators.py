@@ -1,10 +1,12 @@
 """Operators against brute force on small tables with nulls, empty and repeated rows and clashing columns."""
 
 import hashlib
+import pickle
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dwellscope.llm import decontaminate, exact_dedup, license_scan, near_dedup, pii, quality, substring_dedup, toxicity, warc
@@ -54,10 +56,14 @@ def test_fingerprints_combine():
     assert exact_dedup.fingerprint(a + b) != exact_dedup.fingerprint(b + a)
 
 
-def test_collided_groups(spark, monkeypatch):
-    docs = table(spark, [(1, "aaaa"), (2, "bbbb")])
-    groups = spark.createDataFrame([(exact_dedup.fingerprint(b"aaaa"), 4, 1)], "fp long, n_bytes long, ref_id long")
-    assert exact_dedup.collided_groups(docs.selectExpr("doc_id", "text"), groups).count() == 0
+def test_exact_with_collisions_and_huge_texts(spark, rows):
+    """Weak fields make texts of one length collide; a low bound sends texts through the parallel chunks."""
+    rows = rows + [(100, "aaaa"), (101, "bbbb"), (102, "aaaA"), (103, "cccc"), (104, "x" * 70_000), (105, "X" * 70_000), (106, "x" * 69_999 + "y")]
+    want = sorted(map(str, exact_dedup.exact_duplicates(table(spark, rows)).collect()))
+    weak = ((2, 1), (2, 1))
+    assert len({exact_dedup.fingerprint(t, weak) for t in (b"aaaa", b"bbbb", b"cccc")}) == 1
+    assert sorted(map(str, exact_dedup.exact_duplicates(table(spark, rows), fields=weak).collect())) == want
+    assert sorted(map(str, exact_dedup.exact_duplicates(table(spark, rows), huge=100).collect())) == want
 
 
 def test_near(spark, rows):
@@ -157,6 +163,39 @@ def test_decontaminate_blocks(spark):
     assert decontaminate.scan(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    bench = [(i, text(rng.choice([2, 5, 12, 30]))) for i in range(12)] + [(20, text(9000)), (21, "unique words only here")]
+    docs = [(i, text(rng.randrange(60))) for i in range(40)] + [(50, bench[12][1][3000:9000]), (51, None), (52, "!!")]
+    found = decontaminate.scan(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
+    blocks = decontaminate.scan(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string"), max_bytes=4000)
+    seen = {}
+    for i, t in bench:
+        ws = t.split()
+        n = min(10, len(ws))
+        for k in range(len(ws) - n + 1):
+            seen.setdefault(tuple(ws[k : k + n]), set()).add(i)
+    want = {}
+    for i, t in docs:
+        ws, hit, items = (t or "").replace("!", "").split(), set(), set()
+        for n in {len(w) for w in seen}:
+            for k in range(len(ws) - n + 1):
+                if tuple(ws[k : k + n]) in seen:
+                    hit |= set(range(k, k + n))
+                    items |= seen[tuple(ws[k : k + n])]
+        want[i] = (len(ws), len(hit), sorted(items))
+    for result in (found, blocks):
+        assert {r["doc_id"]: (r["n_words"], sum(r["spans"][1::2]) - sum(r["spans"][::2]), sorted(r["items"])) for r in result.collect()} == want
+
+
+def test_windows_memory():
+    """The broadcast stays within about four times the words' bytes."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(50_000)}" for _ in range(200_000))
+    assert len(pickle.dumps(decontaminate.Windows([(1, text)]))) < 5 * len(text)
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (2, None, "<p>")], "page_id long, url string, html string")
     path = shared_dir(spark)
@@ -164,6 +203,20 @@ def test_warc(spark):
     got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, path).collect())
     assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)]
     assert all(r["record"].startswith(b"WARC/1.1\r\n") for r in warc.record_bytes(spark, path).collect())
+    empty = shared_dir(spark)
+    warc.write_archive(pages.limit(0), empty)
+    assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_warc_damaged_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>"), (2, "u", "<q>")], "page_id long, url string, html string")
+    path, other = shared_dir(spark), shared_dir(spark)
+    warc.write_archive(pages, path)
+    swapped = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.min("payload").over(Window.partitionBy(F.lit(1))))
+    swapped.write.parquet(f"{other}/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{other}/headers")
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(spark, other).collect()
 
 
 def test_pii(spark):
