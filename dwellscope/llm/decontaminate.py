@@ -35,7 +35,7 @@ from .common import batch_of, lower_az, slices, table, texts
 #: Words of a window.
 N_WORDS = 10
 #: Bytes of benchmark words whose windows are broadcast at once.
-MAX_BYTES = 16 << 20
+MAX_BYTES = 8 << 20
 #: Windows of a section of a benchmark item.
 SECTION = 4096
 
