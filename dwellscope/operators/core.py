@@ -27,21 +27,23 @@ def segment_grid(links: DataFrame, length: float, phase: float = 0.0) -> DataFra
 def assign(placed: DataFrame, segments: DataFrame) -> DataFrame:
     """Segment of each position: bins are (lo, hi]; at or before 0 the vehicle stands at the end of the link before; beyond the end the last bin.
 
-    The segments of a link become one row of arrays (a link has tens of bins), so the join is an equi-join without row explosion.
+    A row of an unknown link or without a position has a null segment. The segments of a link become one row of arrays (a
+    link has tens of bins), so the join is an equi-join without row explosion.
     """
     arrays = segments.groupBy("pattern_uid", "link_idx").agg(F.array_sort(F.collect_list(F.struct("hi", "seg_idx"))).alias("segs"))
     back = (F.col("pos_m") <= 0) & (F.col("link_idx") > 0)
     moved = placed.withColumn("at_link", F.when(back, F.col("link_idx") - 1).otherwise(F.col("link_idx"))).withColumn("at_pos", F.when(back, F.lit(1e18)).otherwise(F.col("pos_m")))
     segs = arrays.select("pattern_uid", F.col("link_idx").alias("at_link"), "segs")
     below = F.size(F.filter("segs", lambda s: s["hi"] < F.col("at_pos")))
-    joined = moved.join(segs, ["pattern_uid", "at_link"])
-    return joined.withColumn("seg_idx", F.element_at("segs", F.least(below, F.size("segs") - 1) + 1)["seg_idx"]).drop("segs", "at_pos").where("pos_m is not null")
+    joined = moved.join(segs, ["pattern_uid", "at_link"], "left")
+    place = F.when(F.col("pos_m").isNotNull(), F.element_at("segs", F.least(below, F.size("segs") - 1) + 1)["seg_idx"])
+    return joined.withColumn("seg_idx", place).drop("segs", "at_pos")
 
 
 def cube(placed: DataFrame, segments: DataFrame) -> DataFrame:
     """Counted positions for each service date, hour, pattern and segment."""
     counted = placed.where(F.coalesce("count", F.lit(True)))
-    return assign(counted, segments).groupBy("service_date", "hour", "pattern_uid", "seg_idx").agg(F.count(F.lit(1)).alias("obs"))
+    return assign(counted, segments).where("seg_idx is not null").groupBy("service_date", "hour", "pattern_uid", "seg_idx").agg(F.count(F.lit(1)).alias("obs"))
 
 
 def link_totals(cube_: DataFrame, segments: DataFrame) -> DataFrame:
@@ -62,23 +64,6 @@ def normalised_id(col: Column, rule: str = "leading_digits") -> Column:
     return text if rule == "none" else F.nullif(F.regexp_extract(text, r"^0*(\d+)" if rule == "leading_digits" else rule, 1), F.lit(""))
 
 
-def coverage(snapshots: DataFrame, cap_s: float = 40.0, tick_s: float = 20.0) -> DataFrame:
-    """Covered seconds and polls for each hour of live polls: each covers the time to the next, capped, split at hours.
-
-    Gaps are taken within a day's polls and the first poll of the next day, so days are separate tasks.
-    """
-    live = snapshots.where(~F.col("frozen")).groupBy("ts").count().drop("count").withColumn("day", F.to_date("ts"))
-    first = live.groupBy("day").agg(F.min("ts").alias("first")).withColumn("next_first", F.lead("first").over(W.orderBy("day"))).drop("first")
-    w = W.partitionBy("day").orderBy("ts")
-    t = live.join(first, "day").withColumn("a", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    t = t.withColumn("b", F.coalesce(F.lead("a").over(w), F.unix_micros(F.col("next_first").cast("timestamp")) / 1e6))
-    t = t.withColumn("span", F.least(F.coalesce(F.col("b") - F.col("a"), F.lit(tick_s)), F.lit(cap_s)))
-    t = t.withColumn("e", F.col("a") + F.col("span")).withColumn("h0", F.floor(F.col("a") / 3600)).withColumn("h1", F.ceil(F.col("e") / 3600) - 1)
-    t = t.withColumn("h", F.explode(F.sequence("h0", F.greatest("h0", "h1"))))
-    part = F.greatest(F.least("e", (F.col("h") + 1) * 3600) - F.greatest("a", F.col("h") * 3600), F.lit(0.0))
-    return t.groupBy("h").agg(F.sum(part).alias("covered_s"), F.sum((F.col("h") == F.col("h0")).cast("long")).alias("n_snapshots"))
-
-
 def runs(df: DataFrame, gap_s: float = 300.0, back_m: float = 100.0) -> DataFrame:
     """run number and running maximum of ``s_m`` along each track: a gap or a step back starts a new run."""
     w = W.partitionBy("track_id").orderBy("ts", "s_m")
@@ -89,15 +74,23 @@ def runs(df: DataFrame, gap_s: float = 300.0, back_m: float = 100.0) -> DataFram
 
 
 def thin(df: DataFrame, tick_s: int = 20) -> DataFrame:
-    """The last fix of each track and tick; rows without a track stay."""
+    """The last fix of each track and tick; rows without a track stay, and do not meet in a window."""
     tick = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / tick_s)
-    ranked = df.withColumn("rn", F.row_number().over(W.partitionBy("track_id", tick).orderBy(F.desc("ts"), F.desc("s_m"))))
-    return ranked.where("track_id is null or rn = 1").drop("rn")
+    ranked = df.where("track_id is not null").withColumn("rn", F.row_number().over(W.partitionBy("track_id", tick).orderBy(F.desc("ts"), F.desc("s_m"))))
+    return ranked.where("rn = 1").drop("rn").unionByName(df.where("track_id is null"))
+
 
+def feed_lengths(df: DataFrame, min_rows: int = 20, q: float = 0.995, per_m: int | None = None) -> DataFrame:
+    """Feed length of each link: the 99.5th percentile of its positions, null under min_rows rows.
 
-def feed_lengths(df: DataFrame, min_rows: int = 20) -> DataFrame:
-    """Feed length of each link: the 99.5th percentile of its positions, null under min_rows rows."""
-    return df.groupBy("pattern_uid", "link_idx").agg(F.count("pos_m").alias("n"), F.percentile("pos_m", F.lit(0.995)).alias("q")).select("pattern_uid", "link_idx", "n", F.when((F.col("n") >= min_rows) & (F.col("q") > 0), F.col("q")).alias("flen"))
+    ``per_m`` counts positions rounded to 1/per_m metre first and interpolates on the counts, so that a link's buffer stays
+    bounded by its length whatever the number of rows; feeds report whole metres, for which per_m = 1 is exact.
+    """
+    keys = ["pattern_uid", "link_idx"]
+    if per_m is not None:
+        df = df.where("pos_m is not null").groupBy(*keys, (F.round(F.col("pos_m") * per_m) / per_m).alias("pos_m")).agg(F.count(F.lit(1)).alias("rows"))
+        return df.groupBy(*keys).agg(F.sum("rows").alias("n"), F.percentile("pos_m", F.lit(q), F.col("rows")).alias("q")).select(*keys, "n", F.when((F.col("n") >= min_rows) & (F.col("q") > 0), F.col("q")).alias("flen"))
+    return df.groupBy(*keys).agg(F.count("pos_m").alias("n"), F.percentile("pos_m", F.lit(q)).alias("q")).select(*keys, "n", F.when((F.col("n") >= min_rows) & (F.col("q") > 0), F.col("q")).alias("flen"))
 
 
 def estimate(cube_: DataFrame, passages: DataFrame, segments: DataFrame, ref_hours: tuple[int, int] = (20, 24)) -> DataFrame:
@@ -106,8 +99,9 @@ def estimate(cube_: DataFrame, passages: DataFrame, segments: DataFrame, ref_hou
     pas = passages.groupBy("pattern_uid", "link_idx", "hour").agg(F.sum("n").alias("passages"))
     cells = segments.select("pattern_uid", "seg_idx", "link_idx").join(pas, ["pattern_uid", "link_idx"]).join(obs, ["pattern_uid", "seg_idx", "hour"], "left").fillna({"obs": 0})
     ref = F.col("hour").between(ref_hours[0], ref_hours[1] - 1)
-    refs = cells.groupBy("pattern_uid", "seg_idx").agg(F.try_divide(F.sum(F.when(ref, F.col("obs"))), F.sum(F.when(ref, F.col("passages")))).alias("ref"))
-    out = cells.join(refs, ["pattern_uid", "seg_idx"]).withColumn("opp", F.try_divide("obs", "passages"))
+    w = W.partitionBy("pattern_uid", "seg_idx")
+    refs = F.try_divide(F.sum(F.when(ref, F.col("obs"))).over(w), F.sum(F.when(ref, F.col("passages"))).over(w))
+    out = cells.withColumn("ref", refs).withColumn("opp", F.try_divide("obs", "passages"))
     return out.withColumn("excess", F.col("opp") - F.col("ref")).withColumn("ratio", F.log2((F.col("opp") + 0.5) / (F.col("ref") + 0.5)))
 
 
@@ -135,9 +129,9 @@ def haversine_m(lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Colum
 
 
 def spearman(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """Rank correlation within each group, ties at their mean rank, rows with a null left out."""
+    """Rank correlation within each group, ties at their mean rank, rows with a null left out; null under three rows or without spread."""
     def rank(c: str) -> Column:
         return F.rank().over(W.partitionBy(group).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(group, c)) - 1) / 2
 
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return full.select(group, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(group).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return full.select(group, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(group).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))

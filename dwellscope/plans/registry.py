@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dwellscope.operators import core
 from dwellscope.operators import indicators as ind
-from dwellscope.plans import more
+from dwellscope.plans import analysis, compare_queries, hotspot_queries, line_queries, more, tune_queries
 from dwellscope.sources import fixtures as fx
 
 _SEG = """
@@ -63,7 +63,6 @@ QUERIES = {
     "service_time": lambda s, d: _local(s, d).select("event_id", F.col("service_date").cast("string").alias("service_date"), "hour", "dow"),
     "id_normalise": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", core.normalised_id(F.concat(F.lit(" 00"), F.col("c_custkey").cast("string"), F.col("c_mktsegment"))).alias("id")),
     "snapshots_infer": lambda s, d: fx.observations(s, d).groupBy("ts").agg(F.count(F.lit(1)).alias("n_rows")),
-    "coverage_hours": lambda s, d: core.coverage(fx.snapshots(s, d)).select(F.col("h").cast("long").alias("h"), F.round("covered_s", 3).alias("covered_s"), "n_snapshots"),
     "run_numbering": lambda s, d: core.runs(fx.observations(s, d), 3000, 50).select("event_id", "run"),
     "running_max": lambda s, d: core.runs(fx.observations(s, d), 3000, 50).select("event_id", "s_max"),
     "thin": lambda s, d: core.thin(fx.observations(s, d), 3600).select("event_id"),
@@ -93,9 +92,6 @@ ORACLE_SQL = {
 SELECT event_id, service_date::VARCHAR AS service_date, floor(epoch(lt - service_date::TIMESTAMP) / 3600)::INT AS hour, (isodow(service_date) - 1)::INT AS dow FROM s""",
     "id_normalise": "SELECT c_custkey, c_custkey::VARCHAR AS id FROM customer",
     "snapshots_infer": "SELECT ts, count(*) AS n_rows FROM events GROUP BY ts",
-    "coverage_hours": """WITH l AS (SELECT DISTINCT epoch_us(ts) / 1e6 AS a FROM events WHERE event_id % 7 >= 2), g AS (SELECT a, a + least(coalesce(lead(a) OVER (ORDER BY a) - a, 20), 40) AS e FROM l),
-h AS (SELECT a, e, unnest(range(floor(a / 3600)::BIGINT, greatest(floor(a / 3600), ceil(e / 3600) - 1)::BIGINT + 1)) AS h FROM g)
-SELECT h, round(sum(greatest(least(e, (h + 1) * 3600) - greatest(a, h * 3600), 0)), 3) AS covered_s, count(*) FILTER (h = floor(a / 3600)) AS n_snapshots FROM h GROUP BY h""",
     "run_numbering": _RUNS + "SELECT event_id, run FROM r",
     "running_max": _RUNS + "SELECT event_id, max(s_m) OVER (PARTITION BY track_id, run ORDER BY ts, s_m ROWS UNBOUNDED PRECEDING) AS s_max FROM r",
     "thin": _OBS + " SELECT event_id FROM obs QUALIFY row_number() OVER (PARTITION BY track_id, floor(epoch(ts) / 3600) ORDER BY ts DESC, s_m DESC) = 1",
@@ -178,5 +174,6 @@ n AS (SELECT *, CASE WHEN j0 > max(j1) OVER (PARTITION BY user_id ORDER BY j0, j
 p AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY j0, j1 ROWS UNBOUNDED PRECEDING) AS part FROM n) SELECT user_id, min(j0) AS j0, max(j1) AS j1 FROM p GROUP BY user_id, part""",
 }
 
-QUERIES |= more.QUERIES
-ORACLE_SQL |= more.ORACLE_SQL
+for _part in (more, analysis, hotspot_queries, compare_queries, line_queries, tune_queries):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
