@@ -17,11 +17,14 @@ With 30 bands of 4 registers a pair at the threshold 0.8 shares no bucket with
 a probability of 0.00000014, and the estimate's margin of 0.2 is over five of
 its standard deviations.
 
-Defined cases: a null text is the empty text; texts without words have empty
+Links and set sizes are decided on 64-bit hashes of shingles. Texts of any
+length are read whole.
+
+Defined cases: an empty table gives no rows; a null text is the empty text; texts without words have empty
 sets and are linked with nothing; with fewer words than a shingle the whole
 sequence is the one shingle; repeated rows share a class; a null doc_id has a
-null component unless its class has an id; rows that share an id but not the
-text each follow their own text.
+null component unless its class has an id; different texts under one id are one
+node and may share its component.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return (same - chance) / (1 - chance)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
 _BAND = pa.schema([("bucket", pa.int64()), ("cid", pa.int64())])
 _SET = pa.schema([("cid", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -111,6 +114,7 @@ def _sketches(n_words: int):
             yield batch_of(
                 {
                     "doc_id": rows["doc_id"],
+                    "rid": rows["rid"],
                     "n": [len(s) for s in sets],
                     "d1": [signed(d >> 64) for d in digests],
                     "d2": [signed(d & (1 << 64) - 1) for d in digests],
@@ -221,10 +225,10 @@ def _verified(rows: DataFrame, pairs: DataFrame, n_words: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, rid (xxhash64 of the text) for each row of ``docs``."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    sketches = written(spark, rows.mapInArrow(_sketches(n_words), "doc_id long, n long, d1 long, d2 long, sig binary"))
+    sketches = written(spark, rows.withColumn("rid", F.xxhash64("text")).mapInArrow(_sketches(n_words), "doc_id long, rid long, n long, d1 long, d2 long, sig binary"))
     classes = written(spark, sketches.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")).where("cid is not null"))
     bands = classes.select("cid", "sig").mapInArrow(_bands, "bucket long, cid long")
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
@@ -249,9 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = written(spark, links.unionByName(more.distinct()))
         found = written(spark, components(links))
     named = classes.select("n", "d1", "d2", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("n", "d1", "d2", F.coalesce("component", "cid").alias("class_comp"))
-    out = sketches.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").withColumn("component_id", F.coalesce("class_comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = sketches.select("doc_id", "rid", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").withColumn("component_id", F.coalesce("class_comp", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")

@@ -78,7 +78,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[bytes, bytes, Logistic] | float:
     return good, bad, Logistic(x, y)
 
 
-_SCORE = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+_SCORE = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("score", pa.float64())])
 
 
 def _scorer(shared):
@@ -90,16 +90,17 @@ def _scorer(shared):
                 scores = [model] * len(rows["text"])
             else:
                 scores = model[2](np.array([comp.features(t.encode("utf-8", "surrogatepass")) for t in rows["text"]])).tolist()
-            yield batch_of({"doc_id": rows["doc_id"], "score": scores}, _SCORE)
+            yield batch_of({"doc_id": rows["doc_id"], "rid": rows["rid"], "score": scores}, _SCORE)
 
     return run
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, to_score: DataFrame | None = None, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, score for each row of ``to_score`` (``docs`` unless given); learnt from ``docs`` with ``labels``."""
+    """doc_id, rid (xxhash64 of the text), score for each row of ``to_score`` (``docs`` unless given); learnt from ``docs`` with ``labels``."""
     model = fit(training_rows(docs, labels, "quality", per_class, max_bytes))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries
-    return texts(docs if to_score is None else to_score).mapInArrow(_scorer(shared), "doc_id long, score double")
+    rows = texts(docs if to_score is None else to_score).withColumn("rid", F.xxhash64("text"))
+    return rows.mapInArrow(_scorer(shared), "doc_id long, rid long, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
