@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellscope.llm import decontaminate, exact_dedup, near_dedup, quality, tokenizer
-from dwellscope.llm.common import table, written
+from dwellscope.llm.common import lower_az, table, written
 
 #: Near duplicates of the pipeline: words of a shingle, percent of similarity.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -14,35 +14,48 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 MIN_QUALITY = quality.THRESHOLD
 
 
-def _ids(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").alias("__id")).distinct()
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id (null included) is in ``ids``; all columns stay as they are."""
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
+def _only(docs: DataFrame, found: DataFrame, digest: Column, name: str) -> DataFrame:
+    """The rows of docs whose id (null included) and text digest are in ``found``; rows that share an id stand each for its own text."""
+    wanted = found.select(F.col("doc_id").alias("__id"), F.col(name).alias("__digest")).distinct()
+    marked = docs.withColumn("__own", digest)
+    return marked.join(wanted.hint("shuffle_hash"), marked["doc_id"].cast("long").eqNullSafe(wanted["__id"]) & (marked["__own"] == wanted["__digest"]), "left_semi").drop("__own")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows of the input tables; documents under MIN_QUALITY go."""
+    """Learns from the labelled rows of the input tables; documents under MIN_QUALITY go.
+
+    Null and empty texts have the score of empty text; repeated rows share their score; an empty table stays empty.
+    """
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), to_score=docs)
-    return _only(docs, _ids(scores.where(F.col("score") >= MIN_QUALITY)))
+    return _only(docs, scores.where(F.col("score") >= MIN_QUALITY), F.xxhash64(_text()), "rid")
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; repeated rows of that id become one."""
+    """Of equal texts (null is empty) the row with the largest id stays; rows of that id with the same text become one."""
     found = exact_dedup.exact_duplicates(docs)
-    return _only(docs, _ids(found.where("kept"))).dropDuplicates(["doc_id", "text"])
+    return _only(docs, found.where("kept"), F.sha2(lower_az(_text()), 256), "text_sha256").dropDuplicates(["doc_id", "text"])
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = near_dedup.near_duplicates(docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
-    return _only(docs, _ids(found.where("kept")))
+    """Of each group of near duplicates the document with the smallest id stays; documents without words stay.
+
+    An id that several different texts share names none of them, so such rows are not searched and stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(_text()).alias("__t"))
+    shared = written(spark, rows.groupBy("__id").agg(F.min("__t").alias("a"), F.max("__t").alias("b")).where("a <> b").select("__id"))
+    mine = docs["doc_id"].cast("long").eqNullSafe(shared["__id"])
+    some = not shared.isEmpty()
+    found = near_dedup.near_duplicates(docs.join(shared, mine, "left_anti") if some else docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
+    out = _only(docs, found.where("kept"), F.xxhash64(_text()), "rid")
+    return out.unionByName(docs.join(shared, mine, "left_semi")) if some else out
 
 
 def decontaminate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that stand in a benchmark window are cut out; documents of which no word is left go. n_chars follows the text."""
+    """Words that stand in a benchmark window are cut out; documents of which no word is left go, others (null and empty ones too) stay. n_chars follows the text."""
     clean = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
     hit = written(spark, clean.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), "clean_text", (F.col("n_hit") < F.col("n_words")).alias("__left")).dropDuplicates(["__id", "__text"]))
     joined = docs.join(hit.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (docs["text"] == hit["__text"]), "left").where(F.coalesce(hit["__left"], F.lit(True)))
