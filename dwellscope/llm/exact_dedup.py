@@ -67,7 +67,7 @@ def fingerprint(data: bytes, fields=FIELDS) -> int:
     return total[0] << 31 | total[1]
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
 _CHUNKS = pa.schema([("fp", pa.int64()), ("n_bytes", pa.int64()), ("is_ref", pa.bool_()), ("no", pa.int32()), ("part", pa.binary())])
 
 
@@ -80,6 +80,7 @@ def _prints(huge: int, fields):
             yield batch_of(
                 {
                     "doc_id": rows["doc_id"],
+                    "rid": rows["rid"],
                     "fp": [fingerprint(x, fields) if len(x) <= huge else None for x in norm],
                     "n_bytes": [len(x) for x in norm],
                     "text_sha256": [hashlib.sha256(x).hexdigest() for x in norm],
@@ -90,7 +91,7 @@ def _prints(huge: int, fields):
     return run
 
 
-_PART = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("row", pa.int64()), ("no", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+_PART = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("row", pa.int64()), ("no", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def _part_hashes(fields):
@@ -119,13 +120,22 @@ def _whole_hashes(fields):
 
 def _huge_prints(rows: DataFrame, huge: int, fields) -> DataFrame:
     """_prints of the huge texts: their chunks are hashed by all tasks, the hashes (16 bytes for each chunk) meet again."""
-    norm = rows.where(F.octet_length("text") > huge).select("doc_id", lower_az(F.col("text")).alias("norm")).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("norm"))
+    norm = rows.where(F.octet_length("text") > huge).select("doc_id", "rid", lower_az(F.col("text")).alias("norm")).select("doc_id", "rid", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("norm"))
     norm = norm.withColumn("n_bytes", F.octet_length("norm").cast("long")).withColumn("row", F.monotonically_increasing_id())
     chunks = norm.withColumn("no", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_bytes") / CHUNK).cast("int") - 1)))
-    chunks = chunks.select("doc_id", "text_sha256", "n_bytes", "row", "no", F.substring("norm", F.col("no") * CHUNK + 1, F.lit(CHUNK)).alias("part")).repartition("row", "no")
-    hashes = chunks.mapInArrow(_part_hashes(fields), "doc_id long, text_sha256 string, n_bytes long, row long, no int, size int, h1 long, h2 long")
-    whole = hashes.groupBy("doc_id", "text_sha256", "n_bytes", "row").agg(F.collect_list(F.struct("no", "size", "h1", "h2")).alias("parts")).drop("row")
-    return whole.mapInArrow(_whole_hashes(fields), "doc_id long, fp long, n_bytes long, text_sha256 string")
+    chunks = chunks.select("doc_id", "rid", "text_sha256", "n_bytes", "row", "no", F.substring("norm", F.col("no") * CHUNK + 1, F.lit(CHUNK)).alias("part")).repartition("row", "no")
+    hashes = chunks.mapInArrow(_part_hashes(fields), "doc_id long, rid long, text_sha256 string, n_bytes long, row long, no int, size int, h1 long, h2 long")
+    whole = hashes.groupBy("doc_id", "rid", "text_sha256", "n_bytes", "row").agg(F.collect_list(F.struct("no", "size", "h1", "h2")).alias("parts")).drop("row")
+    return whole.mapInArrow(_whole_hashes(fields), "doc_id long, rid long, fp long, n_bytes long, text_sha256 string")
+
+
+_NORM = pa.schema([("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("norm", pa.binary())])
+
+
+def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in slices(batches):
+        norm = [t.encode("utf-8", "surrogatepass").lower() for t in rows["text"]]
+        yield batch_of({"n_bytes": list(map(len, norm)), "text_sha256": [hashlib.sha256(x).hexdigest() for x in norm], "norm": norm}, _NORM)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +160,7 @@ def collided_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
     several = written(spark, prints.groupBy("fp", "n_bytes").agg(F.min("text_sha256").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     entries = prints.groupBy("fp", "n_bytes", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).join(several, ["fp", "n_bytes"])
     entries = written(spark, entries.select("fp", "n_bytes", "text_sha256", (F.col("text_sha256") == F.col("ref")).alias("is_ref"), F.col("rows").alias("n")))
-    norm = docs.select(lower_az(F.col("text")).alias("norm"))
-    carried = norm.select(F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("norm"))
+    carried = docs.select("text").mapInArrow(_norms, "n_bytes long, text_sha256 string, norm binary")
     members = spread_join(carried, entries.drop("n").hint("shuffle_hash"), ["n_bytes", "text_sha256"], entries.select("n_bytes", "text_sha256", "n"))
     parts = written(spark, members.select("fp", "n_bytes", "is_ref", "norm").mapInArrow(_chunks, "fp long, n_bytes long, is_ref boolean, no int, part binary"))
     ref = written(spark, parts.where("is_ref").dropDuplicates(["fp", "n_bytes", "no"]).select("fp", "n_bytes", "no", F.col("part").alias("ref_part")))
@@ -159,10 +168,10 @@ def collided_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, fields=FIELDS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+    """doc_id, keep_id, group_size, kept, text_sha256, rid (xxhash64 of the text) for each row of ``docs``."""
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
-    prints = written(spark, rows.mapInArrow(_prints(huge, fields), "doc_id long, fp long, n_bytes long, text_sha256 string"))
+    rows = texts(docs, id_col, text_col).withColumn("rid", F.xxhash64("text"))
+    prints = written(spark, rows.mapInArrow(_prints(huge, fields), "doc_id long, rid long, fp long, n_bytes long, text_sha256 string"))
     if not prints.where("fp is null").isEmpty():
         prints = written(spark, prints.where("fp is not null").unionByName(_huge_prints(rows, huge, fields)))
     bad = written(spark, collided_groups(rows, prints))
@@ -172,11 +181,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keyed = written(spark, split.withColumn("sub", F.when(F.col("bad"), F.col("text_sha256")).otherwise("")).drop("bad"))
     groups = keyed.groupBy("fp", "n_bytes", "sub").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     joined = spread_join(keyed, groups, ["fp", "n_bytes", "sub"], groups.withColumnRenamed("group_size", "n").drop("keep_id"))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "rid")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
 OP6_SQL = """
