@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellscope.llm import decontaminate, exact_dedup, near_dedup, quality, tokenizer
-from dwellscope.llm.common import lower_az, table, written
+from dwellscope.llm.common import table, written
 
 #: Near duplicates of the pipeline: words of a shingle, percent of similarity.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -18,10 +18,10 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _only(docs: DataFrame, found: DataFrame, digest: Column, name: str) -> DataFrame:
-    """The rows of docs whose id (null included) and text digest are in ``found``; rows that share an id stand each for its own text."""
-    wanted = found.select(F.col("doc_id").alias("__id"), F.col(name).alias("__digest")).distinct()
-    marked = docs.withColumn("__own", digest)
+def _only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose id (null included) and text hash are in ``found``; rows that share an id stand each for its own text."""
+    wanted = found.select(F.col("doc_id").alias("__id"), F.col("rid").alias("__digest")).distinct()
+    marked = docs.withColumn("__own", F.xxhash64(_text()))
     return marked.join(wanted.hint("shuffle_hash"), marked["doc_id"].cast("long").eqNullSafe(wanted["__id"]) & (marked["__own"] == wanted["__digest"]), "left_semi").drop("__own")
 
 
@@ -31,13 +31,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have the score of empty text; repeated rows share their score; an empty table stays empty.
     """
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), to_score=docs)
-    return _only(docs, scores.where(F.col("score") >= MIN_QUALITY), F.xxhash64(_text()), "rid")
+    return _only(docs, scores.where(F.col("score") >= MIN_QUALITY))
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null is empty) the row with the largest id stays; rows of that id with the same text become one."""
     found = exact_dedup.exact_duplicates(docs)
-    return _only(docs, found.where("kept"), F.sha2(lower_az(_text()), 256), "text_sha256").dropDuplicates(["doc_id", "text"])
+    return _only(docs, found.where("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mine = docs["doc_id"].cast("long").eqNullSafe(shared["__id"])
     some = not shared.isEmpty()
     found = near_dedup.near_duplicates(docs.join(shared, mine, "left_anti") if some else docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
-    out = _only(docs, found.where("kept"), F.xxhash64(_text()), "rid")
+    out = _only(docs, found.where("kept"))
     return out.unionByName(docs.join(shared, mine, "left_semi")) if some else out
 
 
