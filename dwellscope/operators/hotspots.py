@@ -32,9 +32,9 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in ddl.split(", "))])
 
 
-def weight_matrix(days: DataFrame, n_draws: int, seed: int = 0) -> tuple[list[dt.date], np.ndarray]:
+def weight_matrix(days: DataFrame, n_draws: int, seed: int = 0, stratified: bool = True) -> tuple[list[dt.date], np.ndarray]:
     """Dates and the (draws x dates) weights of the day bootstrap, for the driver: a number for each draw and date."""
-    rows = bootstrap_weights(days, n_draws, seed).collect()
+    rows = bootstrap_weights(days, n_draws, seed, stratified).collect()
     dates = sorted(r[0] for r in days.select("day").distinct().collect())
     place = {d: i for i, d in enumerate(dates)}
     out = np.zeros((n_draws, len(dates)))
@@ -99,14 +99,14 @@ def _bins(shared, ref_hours: tuple[int, int], min_passages: float, alpha: float)
     return run
 
 
-def bin_statistics(cells: DataFrame, mains: DataFrame, n_draws: int = 200, ref_hours: tuple[int, int] = (20, 24), min_passages: float = 0.5, level: float = 0.95, seed: int = 0) -> DataFrame:
+def bin_statistics(cells: DataFrame, mains: DataFrame, n_draws: int = 200, ref_hours: tuple[int, int] = (20, 24), min_passages: float = 0.5, level: float = 0.95, seed: int = 0, stratified: bool = True) -> DataFrame:
     """Of each direction, segment and column (hours, peak bands, all day): sums, excess over the evening, interval, spread, share of days above, draws.
 
     ``cells`` are day_cells, ``mains`` the days' main patterns. Each direction draws from its own days.
     """
     spark = cells.sparkSession
     directions = [r[0] for r in mains.select("direction_id").distinct().collect()]
-    weights = {d: weight_matrix(mains.where(F.col("direction_id") == d).select(F.col("service_date").alias("day")), n_draws, seed) for d in directions}
+    weights = {d: weight_matrix(mains.where(F.col("direction_id") == d).select(F.col("service_date").alias("day")), n_draws, seed, stratified) for d in directions}
     shared = spark.sparkContext.broadcast(weights)  # a number for each draw, direction and date
     return cells.select("direction_id", "seg_key", "service_date", "hour", "obs", "passages").groupBy("direction_id", "seg_key").applyInArrow(_bins(shared, ref_hours, min_passages, 1 - level), _DDL)
 

@@ -27,13 +27,13 @@ def one_sided_p(value: Column, theta: float, se: Column) -> Column:
     return F.when(se > 0, 0.5 * erfc((value - theta) / se / 2**0.5)).when(value > theta, 0.0).when(value.isNotNull(), 1.0)
 
 
-def bootstrap_weights(days: DataFrame, n_draws: int, seed: int = 0) -> DataFrame:
-    """(draw, day, w) of a rescaled bootstrap of the distinct days of each weekday; days that a draw leaves out have no row.
+def bootstrap_weights(days: DataFrame, n_draws: int, seed: int = 0, stratified: bool = True) -> DataFrame:
+    """(draw, day, w) of a rescaled bootstrap of the distinct days of each weekday (of all, if not stratified); days that a draw leaves out have no row.
 
     In a stratum of n days a draw picks n - 1 with replacement, each worth n / (n - 1); a single day always weighs 1.
     Picks come from a digest of (seed, draw, weekday, number), so they repeat on any partitioning.
     """
-    numbered = days.select("day").distinct().withColumn("dow", F.weekday("day"))
+    numbered = days.select("day").distinct().withColumn("dow", F.weekday("day") if stratified else F.lit(0))
     numbered = numbered.withColumn("at", F.row_number().over(W.partitionBy("dow").orderBy("day")) - 1)
     strata = numbered.groupBy("dow").agg(F.count(F.lit(1)).alias("n"))
     picks = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n").cast("int") - 1))))

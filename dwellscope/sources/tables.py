@@ -84,11 +84,11 @@ def compact_observations(df: DataFrame, route: str | None = None, unit: str = "s
 
 
 def compact_snapshots(df: DataFrame, unit: str = "s") -> DataFrame:
-    """Compact polls (ts, same or frozen, [n_rows]) as SNAPSHOT, one row for each ts."""
+    """Compact polls (ts, same or frozen, [n_rows]) as SNAPSHOT, of each ts the first row."""
     frozen = F.coalesce(*[F.col(c).cast("boolean") for c in ("frozen", "same") if c in df.columns], F.lit(False))
     n_rows = F.col("n_rows").cast("long") if "n_rows" in df.columns else F.lit(None).cast("long")
-    rows = df.select(instant(df, "ts", unit).alias("ts"), n_rows.alias("n_rows"), frozen.alias("frozen"))
-    return rows.groupBy("ts").agg(F.max("n_rows").alias("n_rows"), F.bool_and("frozen").alias("frozen"))
+    rows = df.select(instant(df, "ts", unit).alias("ts"), n_rows.alias("n_rows"), frozen.alias("frozen"), F.monotonically_increasing_id().alias("__row"))
+    return rows.groupBy("ts").agg(F.min_by(F.struct("n_rows", "frozen"), "__row").alias("r")).select("ts", "r.n_rows", "r.frozen")
 
 
 def punctuality(df: DataFrame, route: str | None = None, rule: str = "leading_digits", only_observed: bool = False) -> DataFrame:

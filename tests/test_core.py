@@ -7,12 +7,13 @@ from dwellscope.operators import core
 DATA = "/root/testdata/sf0.001"
 
 
-def test_assign_bounds(spark):
+def test_places_at_bin_ends(spark):
     links = spark.createDataFrame([("P", 0, 90.0), ("P", 1, 60.0)], "pattern_uid string, link_idx int, len_m double")
-    rows = [(0, 30.0), (0, 30.01), (0, 90.0), (0, 120.0), (1, 0.0), (1, -2.0), (0, 0.0), (1, 0.001)]
+    # Facts about bin ends; unknown links and missing positions are our own cases.
+    rows = [(0, 30.0), (0, 30.01), (0, 90.0), (0, 120.0), (1, 0.0), (1, -2.0), (0, 0.0), (1, 0.001), (2, 5.0), (0, None)]
     placed = spark.createDataFrame([("P", i, p, n) for n, (i, p) in enumerate(rows)], "pattern_uid string, link_idx int, pos_m double, n int")
     got = core.assign(placed, core.segment_grid(links, 30.0)).orderBy("n").collect()
-    assert [r["seg_idx"] for r in got] == [0, 1, 2, 2, 2, 2, 0, 3]
+    assert [r["seg_idx"] for r in got] == [0, 1, 2, 2, 2, 2, 0, 3, None, None]
 
 
 def test_grid(spark):
@@ -23,6 +24,7 @@ def test_grid(spark):
 
 
 def test_service_time(spark):
+    # Facts about service time.
     cases = {"2025-03-18 00:30:00": (17, 25), "2025-03-18 03:00:00": (18, 4), "2025-03-30 01:30:00": (29, 27), "2025-03-30 02:30:00": (30, 4)}
     df = spark.createDataFrame([(t,) for t in cases], "t string").selectExpr("t", "cast(t as timestamp_ntz) as ts")
     for r in core.local_time(df, "Europe/Brussels").collect():
