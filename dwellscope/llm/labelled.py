@@ -59,5 +59,9 @@ class Logistic:
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         return np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
 
+    def shift(self, log_odds: float) -> None:
+        """Moves the calibration to another share of both classes."""
+        self.w[-1] += log_odds
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._inputs(x) @ self.w, -40, 40)))

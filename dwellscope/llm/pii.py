@@ -15,8 +15,14 @@ Positions are code points, ends exclusive. Matches are found by splitting and
 extracting with the same expression; those that fail a check (address parts,
 Luhn sum, number of digits) are dropped and not retried.
 
-Defined cases: null and empty texts have no spans; repeated rows are each
-reported; without seeds no pattern is trusted.
+Instances are tokens of MIN_LENGTH characters or more without blanks and with a
+digit. The word before a match is read from the CONTEXT_CHARS characters before
+it: of a longer word only its end counts.
+
+Defined cases: an empty table gives no rows; null and empty texts have no spans;
+texts of any length are searched whole; repeated rows are each reported (their
+values count once, as instances are different values); without seeds no pattern
+is trusted.
 """
 
 from __future__ import annotations

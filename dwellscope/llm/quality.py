@@ -1,14 +1,17 @@
 """Quality score by compression against good and bad text.
 
 Two zstandard dictionaries are trained, on labelled good and on labelled bad
-text. A text is compressed under each of them, whole and in blocks; the size
-differences, divided by the text's size, with the sizes themselves so divided,
-go through a logistic calibration fitted on labelled texts that the
-dictionaries have not seen.
-
-Defined cases: null and empty texts get the score of empty input; with no
-labelled rows of one class every score is the share of good labels (0.5
-without any); repeated rows are each scored.
+text. A text is compressed under each of them, whole and in blocks. The
+differences of the sizes, divided by the text's size (of the whole, and the
+least and the mean of its blocks), go through a logistic calibration fitted on
+labelled texts that the dictionaries have not seen, and moved to the shares of
+both labels in the table, from which the sample takes at most ``per_class`` each.
+
+Defined cases: an empty table gives no rows; null and empty texts get the score
+of empty input; texts of any length are compressed whole, block by block; ties
+do not occur, as rows are scored apart; with no labelled rows of one class
+every score is the share of good labels (0.5 without any); repeated rows are
+each scored.
 """
 
 from __future__ import annotations
@@ -52,21 +55,20 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(dict_data=d, **plain)
 
-        self.good, self.bad, self.none = of(good), of(bad), zstandard.ZstdCompressor(**plain)
+        self.good, self.bad = of(good), of(bad)
+
+    def difference(self, data: bytes) -> float:
+        """Bytes that the good dictionary saves over the bad one, per byte of text."""
+        return (len(self.bad.compress(data)) - len(self.good.compress(data))) / (len(data) + 16)
 
     def features(self, data: bytes) -> list[float]:
-        g, b, z = (len(c.compress(data)) for c in (self.good, self.bad, self.none))
-        n = len(data) + 16
-        if len(data) <= BLOCK:
-            diffs = [(b - g) / n]
-        else:
-            blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-            diffs = [(len(self.bad.compress(x)) - len(self.good.compress(x))) / (len(x) + 16) for x in blocks]
-        return [(b - g) / n, min(diffs), sum(diffs) / len(diffs), g / n, b / n, z / n, (b - g) / max(1, min(g, b))]
-
-
-def fit(rows: list[tuple[str, int]]) -> tuple[bytes, bytes, Logistic] | float:
-    """Dictionaries and calibration, or a constant score if a class has fewer than two rows."""
+        whole = self.difference(data)
+        blocks = [self.difference(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)] if len(data) > BLOCK else [whole]
+        return [whole, min(blocks), sum(blocks) / len(blocks)]
+
+
+def fit(rows: list[tuple[str, int]], odds: float | None = None) -> tuple[bytes, bytes, Logistic] | float:
+    """Dictionaries and calibration, or a constant score if a class has fewer than two rows. ``odds``: good to bad among all labels."""
     share = sum(y for _, y in rows) / len(rows) if rows else 0.5
     of = {y: [t.encode("utf-8", "surrogatepass") for t, q in rows if q == y] for y in (0, 1)}
     if min(map(len, of.values())) < 2:
@@ -75,7 +77,10 @@ def fit(rows: list[tuple[str, int]]) -> tuple[bytes, bytes, Logistic] | float:
     comp = Compressors(good, bad)
     x = np.array([comp.features(d) for y in (0, 1) for d in of[y][1::2]])
     y = np.concatenate([np.full(len(of[q][1::2]), q) for q in (0, 1)])
-    return good, bad, Logistic(x, y)
+    calibration = Logistic(x, y)
+    if odds:
+        calibration.shift(np.log(odds * max((y == 0).sum(), 1) / max((y == 1).sum(), 1)))
+    return good, bad, calibration
 
 
 _SCORE = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("score", pa.float64())])
@@ -97,7 +102,9 @@ def _scorer(shared):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, to_score: DataFrame | None = None, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, rid (xxhash64 of the text), score for each row of ``to_score`` (``docs`` unless given); learnt from ``docs`` with ``labels``."""
-    model = fit(training_rows(docs, labels, "quality", per_class, max_bytes))
+    seen = {r[0]: r[1] for r in labels.where(~held_out(labels["doc_id"])).groupBy(labels["quality"].cast("int").alias("q")).count().collect()}
+    odds = seen.get(1, 0) / seen[0] if seen.get(0) else None
+    model = fit(training_rows(docs, labels, "quality", per_class, max_bytes), odds)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries
     rows = texts(docs if to_score is None else to_score).withColumn("rid", F.xxhash64("text"))
     return rows.mapInArrow(_scorer(shared), "doc_id long, rid long, score double")

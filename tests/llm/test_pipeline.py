@@ -83,3 +83,29 @@ def test_near_hot_bucket(spark):
     assert {got[i] for i in range(60)} == {0} and got[100] == 100
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trained_classifiers_on_held_out_rows(spark):
+    """op2 and op5 at sf0.01, against the labels that they never see."""
+    import os
+
+    from dwellscope.llm import quality, toxicity
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    for query, key, least in ((quality.op5_quality, "quality", 0.8), (toxicity.op2_toxicity, "toxic", 0.8)):
+        rows = [(r["score"], labels[r["doc_id"]][key], r["predicted"]) for r in query(spark, path).collect() if r["held_out"] and r["doc_id"] in labels]
+        right = sum(p == y for _, y, p in rows) / len(rows)
+        assert right >= least and all(0 <= s <= 1 for s, _, _ in rows), key
+
+
+def test_classifiers_without_a_class(spark):
+    from dwellscope.llm import quality, toxicity
+
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(20)] + [(30, None), (31, "")], "doc_id long, text string")
+    one = spark.createDataFrame([(i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        assert {r["score"] for r in scores(docs, one).collect()} == {1.0} and scores(docs.limit(0), one).count() == 0
+    assert {r["score"] for r in quality.quality_scores(docs, one.limit(0)).collect()} == {0.5}
