@@ -10,8 +10,8 @@ from dwellscope.llm.common import table, written
 
 #: Near duplicates of the pipeline: words of a shingle, percent of similarity.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Documents that score lower are rejected.
-MIN_QUALITY = quality.THRESHOLD
+#: Documents that score lower, more likely bad than good, are rejected.
+MIN_QUALITY = 0.5
 
 
 def _text() -> Column:
