@@ -56,3 +56,38 @@ def tagged(segments: DataFrame, stops: DataFrame, up_m: float, down_m: float) ->
     reach = stops.groupBy("pattern_uid").agg(F.collect_list("s_m").alias("at"))
     near = F.exists("at", lambda s: (F.col("x0_m") < s + down_m) & (F.col("x1_m") > s - up_m))
     return segments.join(reach, "pattern_uid", "left").withColumn("zone", F.when(near, "stop").otherwise("running")).drop("at")
+
+
+def zoned_links(links: DataFrame, overrides: DataFrame | None, default: tuple[float, float] = (30.0, 60.0)) -> DataFrame:
+    """Links with ``head`` (metres after their first stop) and ``tail`` (before their last): the row of their own pattern, else
+    the median over the patterns of their key, else the default (before, after).
+
+    ``overrides`` has pattern_uid, link_idx, link_key, head, tail.
+    """
+    up, down = default
+    if overrides is None:
+        return links.withColumn("head", F.lit(float(down))).withColumn("tail", F.lit(float(up)))
+    own = overrides.select("pattern_uid", "link_idx", F.col("head").alias("h0"), F.col("tail").alias("t0"))
+    key = overrides.groupBy("link_key").agg(F.percentile("head", F.lit(0.5)).alias("h1"), F.percentile("tail", F.lit(0.5)).alias("t1"))
+    out = links.join(own, ["pattern_uid", "link_idx"], "left").join(key, "link_key", "left")
+    return out.withColumn("head", F.coalesce("h0", "h1", F.lit(float(down)))).withColumn("tail", F.coalesce("t0", "t1", F.lit(float(up)))).drop("h0", "h1", "t0", "t1")
+
+
+def with_geometry(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """Segments with ``geometry``, their part of the link's line (taken to be as long as the link)."""
+    import pyarrow as pa
+
+    from .geometry import cut
+
+    kind = pa.list_(pa.list_(pa.float64()))
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__line", "__len", "offset_m", "len_m")]
+            lines = [cut(line, a, a + m, nominal=whole).tolist() if line else None for line, whole, a, m in zip(*cols, strict=True)]
+            kept = batch.drop_columns(["__line", "__len"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lines, kind)], names=[*kept.schema.names, "geometry"])
+
+    joined = segments.join(links.select("pattern_uid", "link_idx", F.col("geometry").alias("__line"), F.col("len_m").alias("__len")), ["pattern_uid", "link_idx"])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
+    return joined.select(*segments.columns, "__line", "__len").mapInArrow(run, ddl + ", geometry array<array<double>>")

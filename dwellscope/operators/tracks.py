@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,21 +92,28 @@ def learned_aliases(rows: DataFrame, stops: DataFrame) -> DataFrame:
     return best.join(stops.where("is_last").select("pattern_uid", F.col("stop_id").alias("last_stop")), "pattern_uid").select("terminus_id", "last_stop")
 
 
-def near_points(fixes: DataFrame, points: DataFrame, max_m: float, max_lat: float = 70.0) -> DataFrame:
+def near_points(fixes: DataFrame, points: DataFrame, max_m: float, max_lat: float | None = None) -> DataFrame:
     """Pairs of fixes (fix_id, lat, lon) and network points (point_id, lat, lon) at most max_m apart, by cells of that size.
 
-    Points are put in the nine cells around them (the network is the small side), so each fix joins on one cell; cells span max_m at max_lat.
+    Points are put in the nine cells around them (the network is the small side), so each fix joins on one cell; cells span max_m at
+    max_lat (the points' largest latitude unless given) and close at the 180th meridian.
     """
     lat_step = max_m / 111_000
-    lon_step = F.lit(lat_step) / F.cos(F.radians(F.lit(max_lat)))
+    if max_lat is None:
+        max_lat = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    around_globe = max(int(360 / (lat_step / max(math.cos(math.radians(min(max_lat + lat_step, 89.9))), 1e-3))), 3)
+    lon_step = 360 / around_globe
 
     def cell(c: str, step) -> Column:
         return F.floor(F.col(c) / step)
 
+    def wrapped(c: Column) -> Column:
+        return F.pmod(c, F.lit(around_globe))
+
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     spread = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), cell("lat", lat_step).alias("y0"), cell("lon", lon_step).alias("x0"))
     spread = spread.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
-    spread = spread.select("point_id", "p_lat", "p_lon", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
-    keyed = fixes.withColumn("y", cell("lat", lat_step)).withColumn("x", cell("lon", lon_step))
+    spread = spread.select("point_id", "p_lat", "p_lon", (F.col("y0") + F.col("dy")).alias("y"), wrapped(F.col("x0") + F.col("dx")).alias("x"))
+    keyed = fixes.withColumn("y", cell("lat", lat_step)).withColumn("x", wrapped(cell("lon", lon_step)))
     m = haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     return keyed.join(spread, ["y", "x"]).withColumn("m", m).where(F.col("m") <= max_m).select("fix_id", "point_id", "m")

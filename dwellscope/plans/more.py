@@ -202,7 +202,7 @@ QUERIES |= {
     "segment_grid_fixed": lambda s, d: _bins(grids.fixed_grid(fx.links(s), 30.0, 15.0)),
     "segment_grid_stops": lambda s, d: _bins(grids.stops_grid(_stop_links(s), 30.0), "zone"),
     "zone_tag": lambda s, d: _zoned(s, d).select("p_partkey", "zone"),
-    "tolerant_jaccard": lambda s, d: _rounded(pt.tolerant_overlap(_sets(s, d, "event_id % 3 = 0"), _sets(s, d, "event_id % 5 = 0"), "user_id"), "overlap"),
+    "tolerant_jaccard": lambda s, d: _rounded(pt.tolerant_overlap(_sets(s, d, "event_type < 'm'"), _sets(s, d, "event_type >= 'm'"), "user_id"), "overlap"),
     "choose_main": lambda s, d: _text_day(_mains(s, d)),
     "speed_scale": lambda s, d: _rounded(_speeds(s, d), "kmh"),
     "passages_combine": _combined,
@@ -219,7 +219,7 @@ UNION ALL SELECT pattern_uid, link_idx, len_m, h, 0.0 FROM m UNION ALL SELECT pa
 SELECT pattern_uid, link_idx, (row_number() OVER (PARTITION BY pattern_uid, link_idx ORDER BY x) - 1)::INT AS k, round(x, 6)::DOUBLE AS lo, round(hi, 6)::DOUBLE AS hi,
 (row_number() OVER (PARTITION BY pattern_uid ORDER BY link_idx, x) - 1)::INT AS seg_idx, CASE WHEN x = 0 OR hi = len_m THEN 'stop' ELSE 'running' END AS zone FROM b WHERE hi IS NOT NULL""",
     "zone_tag": """SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM range(0, 12) r(i) WHERE i % 3 = p_size % 3 AND p_partkey % 1500 < i * 130 + 60 AND p_partkey % 1500 + 30 > i * 130 - 30) THEN 'stop' ELSE 'running' END AS zone FROM part""",
-    "tolerant_jaccard": """WITH a AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_id % 3 = 0), b AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_id % 5 = 0),
+    "tolerant_jaccard": """WITH a AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_type < 'm'), b AS (SELECT DISTINCT user_id, event_id % 300 AS j FROM events WHERE event_type >= 'm'),
 h AS (SELECT user_id, EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND abs(b.j - a.j) <= 1)::INT AS hit FROM a UNION ALL SELECT user_id, EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND abs(b.j - a.j) <= 1)::INT FROM b)
 SELECT user_id, round(avg(hit), 6) AS overlap FROM h GROUP BY user_id""",
     "choose_main": """WITH s AS (SELECT * FROM (VALUES (0, 'ABCDE'), (1, 'BCD'), (2, 'ACDE'), (3, 'CD')) s(v, q)), o AS (SELECT o_orderdate::DATE AS day, o_custkey % 4 AS v, count(*) AS n FROM orders GROUP BY ALL), d AS (SELECT *, max(n) OVER (PARTITION BY day) AS top FROM o JOIN s USING (v)),

@@ -108,8 +108,9 @@ rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PA
 BANDS = {"am": (7, 10), "day": (6, 23), "evening": (20, 24)}
 
 
-def _days(spark, d, condition):
-    return spark.read.parquet(f"{d}/orders.parquet").where(condition).select(F.to_date("o_orderdate").alias("day")).distinct()
+def _days(spark, d, table, column):
+    """All dates of a table: of shipments (wanted) and of orders (covered, or feeds)."""
+    return spark.read.parquet(f"{d}/{table}.parquet").select(F.to_date(column).alias("day")).distinct()
 
 
 def _versions(spark, d):
@@ -128,12 +129,12 @@ QUERIES |= {
     "frequency": lambda s, d: ind.frequency(fx.passages(s, d)).withColumn("per_h", F.round("per_h", 6)),
     "stalls": lambda s, d: ind.stalls(fx.snapshots(s, d), 3600.0, 20.0, 300.0).withColumn("frozen_s", F.round("frozen_s", 3)),
     "versions": lambda s, d: _text(ind.version_runs(_versions(s, d)), "day0", "day1"),
-    "nearest_daytype": lambda s, d: _text(ind.nearest_covered(_days(s, d, "o_orderkey % 3 = 0"), _days(s, d, "o_orderkey % 50 = 0")), "day", "covered_day"),
-    "asof_feed": lambda s, d: _text(ind.feed_on(_days(s, d, "o_orderkey % 3 = 0"), _days(s, d, "o_orderkey % 50 = 0"), 14), "day", "feed"),
+    "nearest_daytype": lambda s, d: _text(ind.nearest_covered(_days(s, d, "lineitem", "l_shipdate"), _days(s, d, "orders", "o_orderdate")), "day", "covered_day"),
+    "asof_feed": lambda s, d: _text(ind.feed_on(_days(s, d, "lineitem", "l_shipdate"), _days(s, d, "orders", "o_orderdate"), 14), "day", "feed"),
     "hotspot_rank": lambda s, d: ind.ranked(_estimate(s, d).withColumn("excess", F.round("excess", 6)), "pattern_uid", "excess", 20, "seg_idx", "hour").select("pattern_uid", "rank", "seg_idx", "hour", "excess"),
 }
 
-_DAYS = """WITH w AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT DISTINCT o_orderdate::DATE AS cov FROM orders WHERE o_orderkey % 50 = 0)
+_DAYS = """WITH w AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem), c AS (SELECT DISTINCT o_orderdate::DATE AS cov FROM orders)
 """
 ORACLE_SQL |= {
     "estimator_bands": _SEG + """SELECT pattern_uid, seg_idx, band, sum(obs)::BIGINT AS obs, count(DISTINCT service_date) AS n_days

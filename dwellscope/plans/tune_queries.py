@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dwellscope.operators import grids
 from dwellscope.operators import tuning as tu
 from dwellscope.operators import views as vw
 from dwellscope.plans.analysis import _DISPLAY_SQL, ANALYSIS_SQL, EST_SQL, LINE_SQL, World, _shown, rounded, text_dates
@@ -67,7 +68,14 @@ def _scales(s, d):
     return _read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", *cols, vw.bar_position(v * 20).alias("bar"), vw.change_position(v * 20 - 10).alias("change"), vw.scale_kmh(v * 20).alias("kmh"), lo.alias("k0"), mid.alias("k1"), hi.alias("k2"), vw.per_10_m(v, m).alias("per10"))
 
 
+def _zones(s):
+    links = fx.line_links(s)
+    own = links.where("link_idx in (0, 2)").where("pattern_uid <> 'A1' or link_idx = 2").select("pattern_uid", "link_idx", "link_key", (F.col("link_idx") * 7.0 + 5).alias("head"), F.col("len_m").alias("tail"))
+    return grids.zoned_links(links, own).select("pattern_uid", "link_idx", "head", "tail")
+
+
 QUERIES = {
+    "stop_zone_overrides": lambda s, d: _zones(s),
     "fine_grid": lambda s, d: rounded(_fine(s)),
     "grid_overlaps": lambda s, d: rounded(tu.overlaps(_fine(s), fx.line_segments(s))),
     "loo_deviance": lambda s, d: rounded(text_dates(_deviance(s, d), "service_date"), 4),
@@ -101,6 +109,8 @@ _PARTS = "(SELECT (p_partkey % 2)::INT AS direction_id, p_partkey AS stretch, (p
 _HALF = """, hf AS (SELECT *, ((row_number() OVER (PARTITION BY split, isodow(day) ORDER BY md5('0:' || split || ':' || day::VARCHAR), day) + ('0x' || substr(md5('0/' || split || '/' || (isodow(day) - 1)), 1, 2))::BIGINT % 2) % 2)::INT AS half FROM (SELECT DISTINCT day FROM mn), range(0, 3) r(split))
 """
 ORACLE_SQL = {
+    "stop_zone_overrides": _LINE + """, ow AS (SELECT pattern_uid, link_idx, link_key, link_idx * 7.0::DOUBLE + 5 AS head, len_m AS tail FROM lk WHERE link_idx IN (0, 2) AND (pattern_uid <> 'A1' OR link_idx = 2)), ky AS (SELECT link_key, quantile_cont(head, 0.5) AS h, quantile_cont(tail, 0.5) AS t FROM ow GROUP BY ALL)
+SELECT l.pattern_uid, l.link_idx, coalesce(o.head, k.h, 60)::DOUBLE AS head, coalesce(o.tail, k.t, 30)::DOUBLE AS tail FROM lk l LEFT JOIN ow o ON o.pattern_uid = l.pattern_uid AND o.link_idx = l.link_idx LEFT JOIN ky k ON k.link_key = l.link_key""",
     "fine_grid": _LINE + _FINE + "SELECT pattern_uid, link_idx, link_key, fine_key AS seg_key, k, lo, hi, seg_idx FROM ff",
     "grid_overlaps": _LINE + _FINE + "SELECT pattern_uid, fine_key, seg_key, round(w, 6) + 0.0::DOUBLE AS w FROM ov",
     "loo_deviance": _AN + _FINE + """, rt AS (SELECT c.*, sum(obs) OVER w - obs AS rn, sum(coverage) OVER w - coverage AS rc FROM cells c WINDOW w AS (PARTITION BY direction_id, seg_key, hour)),

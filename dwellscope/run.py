@@ -66,7 +66,7 @@ def segments_of(links: DataFrame, length: float = 30.0, phase: float = 0.0, grid
     if grid == "fixed":
         bins, mark = grids.fixed_grid(links, length, phase), "f"
     elif grid == "stops":
-        bins, mark = grids.stops_grid(links.withColumn("head", F.lit(float(down))).withColumn("tail", F.lit(float(up))), length).drop("zone"), f"s{down:g}_{up:g}"
+        bins, mark = grids.stops_grid(grids.zoned_links(links, None, stop_zone), length).drop("zone"), f"s{down:g}_{up:g}"
     else:
         bins, mark = segment_grid(links, length, phase), ""
     x = bins.join(links.select("pattern_uid", "link_idx", "link_key", "s0_m"), ["pattern_uid", "link_idx"])
@@ -276,6 +276,9 @@ def save(out: Analysis, folder: str, title: str | None = None, html: bool = True
         tables["hotspots"] = out.hotspots
     sinks.write_tables(tables, folder)
     doc = sinks.document(out)
+    if out.hotspots is not None and "geometry" in out.links.columns:
+        lines = sinks.geojson(out.hotspots, grids.with_geometry(out.segments, out.links))
+        sinks.write_text(json.dumps(sinks.plain(lines), separators=(",", ":")), f"{folder}/hotspots.geojson")
     sinks.write_text(json.dumps(doc, separators=(",", ":"), ensure_ascii=False), f"{folder}/analysis.json")
     if html:
         sinks.write_text(sinks.page(doc, title), f"{folder}/report.html")

@@ -108,9 +108,9 @@ def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_pattern_days(spark: SparkSession) -> DataFrame:
     """Every day all three patterns run; A0 is the main one of direction 0 up to the change."""
     days = spark.range(N_DAYS).select(F.col("id").alias("i"), _date(F.col("id")).alias("service_date"))
-    pats = spark.createDataFrame([(u, d) for u, (d, _) in LINE.items()], "pattern_uid string, direction_id int")
+    pats = F.array(*[F.struct(F.lit(u).alias("pattern_uid"), F.lit(d).alias("direction_id")) for u, (d, _) in LINE.items()])
     main = F.when(F.col("pattern_uid") == "B0", F.lit(True)).when(F.col("i") < CHANGE, F.col("pattern_uid") == "A0").otherwise(F.col("pattern_uid") == "A1")
-    return days.join(F.broadcast(pats)).select("service_date", "direction_id", "pattern_uid", F.when(main, 10).otherwise(2).alias("n_trips"), main.alias("is_main"))  # 3 patterns
+    return days.select("i", "service_date", F.inline(pats)).select("service_date", "direction_id", "pattern_uid", F.when(main, 10).otherwise(2).alias("n_trips"), main.alias("is_main"))
 
 
 #: Patterns of a street: direction, kind, trips a day, stops, metres of the links.
@@ -126,12 +126,12 @@ STREET = {
 def street(spark: SparkSession) -> dict[str, DataFrame]:
     """patterns, pattern_days, links and stops of the street; h is another platform of the stop f."""
     pats = [(u, d, list(s), [x.upper() for x in s]) for u, (d, _, _, s, _) in STREET.items()]
-    roles = [(u, d, k, n, k == "main") for u, (d, k, n, _, _) in STREET.items()]
+    roles = F.array(*[F.struct(F.lit(u).alias("pattern_uid"), F.lit(d).alias("direction_id"), F.lit(k).alias("kind"), F.lit(n).alias("n_trips"), F.lit(k == "main").alias("is_main")) for u, (d, k, n, _, _) in STREET.items()])
     rows = [(u, i, f"{s[i]}>{s[i + 1]}", s[i], s[i + 1], float(sum(m[:i])), m[i]) for u, (_, _, _, s, m) in STREET.items() for i in range(len(m))]
     days = spark.range(N_DAYS - 6).select(_date(F.col("id")).alias("service_date"))
     return {
         "patterns": spark.createDataFrame(pats, "pattern_uid string, direction_id int, stop_ids array<string>, stop_names array<string>"),
-        "pattern_days": days.join(F.broadcast(spark.createDataFrame(roles, "pattern_uid string, direction_id int, kind string, n_trips int, is_main boolean"))),  # 5 patterns
+        "pattern_days": days.select("service_date", F.inline(roles)),
         "links": spark.createDataFrame(rows, "pattern_uid string, link_idx int, link_key string, from_stop string, to_stop string, s0_m double, len_m double"),
         "stops": spark.createDataFrame([(x, x.upper()) for x in "abcdefg"] + [("h", "F")], "stop_id string, stop_name string"),
     }

@@ -73,6 +73,8 @@ def test_run_and_compare(spark, line, tmp_path):
     assert found["from_m"] < 760 and found["to_m"] > 700
     doc = api.save(out, str(tmp_path / "out"))
     assert doc["period"]["days"] == 6 and len(doc["dirs"]) == 2 and os.path.exists(tmp_path / "out" / "report.html")
+    shapes = json.loads((tmp_path / "out" / "hotspots.geojson").read_text())["features"]
+    assert shapes and all(len(f["geometry"]["coordinates"]) >= 2 for f in shapes)
     assert "<" not in json.dumps(doc["hotspots"]) and spark.read.parquet(str(tmp_path / "out" / "result.parquet")).count() > 0
     days = sorted(r[0].isoformat() for r in out.mains.select("service_date").distinct().collect())
     both = api.run_compare(spark, cfg, (days[0], days[2]), (days[3], days[5]), 20, pre)
