@@ -8,7 +8,7 @@ from dwellscope.operators import hotspots as hs
 from dwellscope.plans.analysis import _DISPLAY_SQL, ANALYSIS_SQL, World, rounded
 from dwellscope.plans.more import _CHEB, _ERFC, _WEIGHTS
 
-DRAWS, THETA, HOURS = 20, 0.02, (5, 24)
+DRAWS, THETA, HOURS = 20, -0.03, (5, 24)
 #: Loose limits, so that the small line has candidates.
 Q, LEVEL, PERSISTENCE, HOUR_SHARE = 0.9, 0.5, 0.2, 0.2
 
