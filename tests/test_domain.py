@@ -223,8 +223,10 @@ def stream(spark, df, path, plan, mode):
     """All files of a folder through a stream, as rows."""
     df.write.mode("overwrite").parquet(path)
     name = f"out{abs(hash(path))}"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # fixed for a stream when it starts
     q = plan(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert q.exception() is None
     return spark.table(name)
 

@@ -62,6 +62,10 @@ def test_map_matching(spark, line):
         assert (abs(got["s_m"] - got["true_s"]) <= 30).mean() >= 0.98
 
 
+LONG = pytest.mark.skipif(not os.environ.get("DWELLSCOPE_LONG"), reason="takes minutes: set DWELLSCOPE_LONG")
+
+
+@LONG
 def test_run_and_compare(spark, line, tmp_path):
     cfg = config(line)
     pre = api.prepare(spark, cfg)
@@ -82,6 +86,7 @@ def test_run_and_compare(spark, line, tmp_path):
     assert bins < 0.2 and both.changes.count() == 0  # nothing changed (and too few days)
 
 
+@LONG
 def test_command_line(spark, line, tmp_path, capsys):
     path = tmp_path / "line.toml"
     path.write_text(f'[input]\npaths = ["{line.folder}/feed"]\nkind = "stib"\n[gtfs]\npath = "{line.gtfs}"\n[select]\nroute = "S1"\nweekdays = [0, 1, 2, 3, 4, 5, 6]\n')
