@@ -1,21 +1,26 @@
 """Licence notices in paragraphs.
 
-Places where the name of a licence (``KEYS``) stands are looked up in lines
-joined up to the next blank line, as notices are wrapped; around each, a
-template of the family must confirm it: the share of the template's word pairs
-that stand within twice its length is at least ``MIN_COVER``. The words from
-the first to the last of these pairs are a sparse bag of hashed word 1-, 2- and
-3-grams for a softmax regression over licence families and an ``unknown``
-class, fitted in numpy on variants of the templates below and on lines of the
-corpus (a bounded sample, the one of smallest hash in each of PARAGRAPHS
-buckets of hashes, from which those that contain a template or are part of one
-are left out). A temperature fitted on variants that the regression has not
-seen calibrates the probabilities. The notice counts if its family's
-probability against ``unknown`` is at least ``MIN_PROBABILITY``; several
-families of one line all count.
+A paragraph is a run of lines up to the next blank line, joined, as notices are
+wrapped. A softmax regression over licence families and an ``unknown`` class
+scores all of it: in windows of WINDOWS words, each moved by half of itself,
+the words are a sparse bag of hashed 1-, 2- and 3-grams. The regression is
+fitted in numpy on variants of the templates below and on lines of the corpus
+(a bounded sample, the one of smallest hash in each of PARAGRAPHS buckets of
+hashes, from which those that contain a template or are part of one are left
+out). A temperature fitted on variants that the regression has not seen
+calibrates the probabilities. A window proposes each family whose probability
+against ``unknown`` is at least ``MIN_PROBABILITY``; nothing else does.
+
+An exact check follows. A template of the family must confirm a proposal: the
+share of the template's word pairs that stand within twice its length is at
+least ``MIN_COVER``. Families that differ in a version or kind also need the
+words that tell them apart (``KEYS``). The words from the first to the last of
+the template's pairs are the notice; it counts if its own probability against
+``unknown`` is at least ``MIN_PROBABILITY``; several families of one line all
+count.
 
 n_paragraphs is the number of lines that are not blank, n_licensed the number
-of lines in which the name of a counted notice begins.
+of lines in which the name of a counted notice begins (or the notice, if its name is damaged).
 
 The sample of the unknown class takes lines of up to 4000 characters (a bound of
 training rows; all lines are scanned).
@@ -32,7 +37,7 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import accumulate, chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +122,16 @@ PARAGRAPHS = 1500
 MIN_PROBABILITY, MIN_COVER = 0.5, 0.8
 BITS = 18
 VARIANTS, EPOCHS, RATE = 20, 60, 2.0
+#: Words of the windows that are scored: whatever is as long as half a window or shorter lies whole in one.
+WINDOWS = (8, 16, 32, 64, 128)
+#: Words that are scored at once; longer paragraphs come in sections that share a longest window.
+SECTION = 1 << 14
 #: Characters of the paragraphs that are scored at once (one longer paragraph alone).
 BLOCK_CHARS = 1 << 18
 
 _KEYS = tuple((f, name.encode(), re.compile(name.encode() + rest.encode())) for f, name, rest in KEYS)
+#: Families that differ from others in no version or kind: a template alone tells them, though words of their name be damaged.
+_PLAIN = {f for f, _, _ in KEYS} - {f for f, _, rest in KEYS if rest}
 #: Words that begin comment lines; other marks of comments are no words.
 _COMMENT = {b"dnl", b"rem"}
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -217,8 +228,60 @@ class Model:
         have = _pairs(ws)
         return len(ws) > 4 and len(have & self.templates[template][1]) >= MIN_COVER * len(have)
 
-    def region(self, family: str, ws: list[bytes], at: int, end: int) -> list[bytes] | None:
-        """Words from the first to the last pair of the template of the family that confirms the name at ``at``, ``end``."""
+    def _against_unknown(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Weights of n-grams less that of unknown, by their last word ``at`` of n; zero where there is none."""
+        out = np.zeros((n, len(FAMILIES) - 1), np.float32)
+        known = self.used[row]
+        w = self.weight[row[known]]
+        out[at[known]] = w[:, 1:] - w[:, :1]
+        return out
+
+    def proposed(self, docs: list[list[bytes]]) -> list[dict[int, list[tuple[int, int]]]]:
+        """For each paragraph the windows (first word, end) that propose a family, by family."""
+        out: list[dict[int, list[tuple[int, int]]]] = [{} for _ in docs]
+        step = SECTION - WINDOWS[-1]
+        sections = [(k, at, d[at : at + SECTION]) for k, d in enumerate(docs) for at in range(0, max(1, len(d) - WINDOWS[-1]), step) if d]
+        while sections:
+            some, size = [], 0
+            while sections and (not some or size + len(sections[-1][2]) <= SECTION):
+                some.append(sections.pop())
+                size += len(some[-1][2])
+            for i, family, s, e in self._proposed([x for _, _, x in some]):
+                k, at, _ = some[i]
+                out[k].setdefault(family, []).append((at + s, at + e))
+        return out
+
+    def _proposed(self, docs: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(paragraph, family, first word, end) of the windows whose probability against unknown suffices."""
+        counts = np.array([len(d) for d in docs])
+        n, base = int(counts.sum()), np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(docs)), counts)
+        acc = h = np.fromiter((xxhash.xxh3_64_intdigest(w) for d in docs for w in d), np.uint64, n)
+        ending = []
+        with np.errstate(over="ignore"):
+            for size in (1, 2, 3):
+                if size > 1:
+                    acc = (acc[:-1] * np.uint64(0x100000001B3)) ^ h[size - 1 :]
+                whole = np.flatnonzero(owner[: n - size + 1] == owner[size - 1 :]) if n >= size else np.zeros(0, np.int64)
+                row = ((acc[whole] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+                ending.append(self._against_unknown(row, whole + size - 1, n))
+        before = np.zeros((n + 1, len(FAMILIES) - 1))
+        np.cumsum(ending[0] + ending[1] + ending[2], axis=0, dtype=np.float64, out=before[1:])
+        for width in WINDOWS:
+            half = width // 2
+            per = np.where((counts > half) | (width == WINDOWS[0]), np.maximum(1, -(-counts // half) - 1), 0)
+            own = np.repeat(np.arange(len(docs)), per)
+            s = (np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)) * half + base[own]
+            e = np.minimum(s + width, base[own] + counts[own])
+            # n-grams that end in a window but begin before it are none of its own
+            z = before[e] - before[s] - ending[1][s] - ending[2][s] + self.bias[1:] - self.bias[0]
+            more = s + 1 < e
+            z[more] -= ending[2][s[more] + 1]
+            w, f = np.nonzero(1 / (1 + np.exp(np.minimum(-z / self.temperature, 700))) >= MIN_PROBABILITY)
+            yield from zip(own[w].tolist(), (f + 1).tolist(), (s - base[own])[w].tolist(), (e - base[own])[w].tolist(), strict=True)
+
+    def region(self, family: str, ws: list[bytes], at: int, end: int) -> tuple[int, int] | None:
+        """First word and end of the pairs of the template of the family that confirms what stands at ``at``, ``end``."""
         for f, want in self.templates:
             if f != family:
                 continue
@@ -231,7 +294,7 @@ class Model:
                 # the shortest end, then the latest beginning, that hold every pair
                 until = max(last.values())
                 first = min({(ws[i], ws[i + 1]): i for i in places if i <= until}.values())
-                return ws[first : until + 2]
+                return first, until + 2
         return None
 
 
@@ -256,9 +319,8 @@ def _blocks(paragraphs: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def _named(model: Model, lines: list[str]) -> list[tuple[int, str, str]]:
-    """Line, family and words of the confirmed names of licences."""
-    out = []
+def _joined(lines: list[str]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Words, and their lines, of the paragraphs."""
     for full, block in groupby(((k, words(x)) for k, x in enumerate(lines)), lambda b: bool(b[1])):
         if not full:
             continue
@@ -268,17 +330,46 @@ def _named(model: Model, lines: list[str]) -> list[tuple[int, str, str]]:
             x = x[1:] if x[0] in _COMMENT else x
             ws += x
             line += [k] * len(x)
-        joined = b" " + b" ".join(ws) + b" "
-        begin = None
-        for family, name, key in _KEYS:
-            if name not in joined:
+        yield ws, line
+
+
+def _confirmed(model: Model, ws: list[bytes], line: list[int], proposed: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, str, str]]:
+    """Line, family and words of the notices that stand where the regression proposes their families."""
+    joined = b" " + b" ".join(ws) + b" "
+    begin = list(accumulate((len(w) + 1 for w in ws), initial=0))
+    for family, windows in ((FAMILIES[i], w) for i, w in proposed.items()):
+        inside = bytearray(len(ws))
+        for s, e in windows:
+            inside[s:e] = b"\1" * (e - s)
+        regions = []
+        for f, name, key in _KEYS:
+            if f != family or name not in joined:
                 continue
-            begin = begin or list(accumulate((len(w) + 1 for w in ws), initial=0))
             for m in key.finditer(joined):
                 at = bisect_left(begin, m.start())
-                region = model.region(family, ws, at, bisect_left(begin, m.end() - 1))
-                if region:
-                    out.append((line[at], family, b" ".join(region).decode("utf-8", "replace")))
+                if inside[at] and (region := model.region(family, ws, at, bisect_left(begin, m.end() - 1))):
+                    regions.append(region)
+                    yield line[at], family, b" ".join(ws[slice(*region)]).decode("utf-8", "replace")
+        for s, e in windows if family in _PLAIN else ():
+            region = model.region(family, ws, s, e)
+            if region and not any(region[0] < y and x < region[1] for x, y in regions):
+                regions.append(region)
+                yield line[region[0]], family, b" ".join(ws[slice(*region)]).decode("utf-8", "replace")
+
+
+def _named(model: Model, docs: list[list[str]]) -> list[list[tuple[int, str, str]]]:
+    """Line, family and words of the notices of each text: all paragraphs are scored, what is proposed is checked."""
+    out: list[list[tuple[int, str, str]]] = [[] for _ in docs]
+    held: list[tuple[int, list[bytes], list[int]]] = []
+    size = 0
+    for i, block in chain(((i, b) for i, lines in enumerate(docs) for b in _joined(lines)), [(-1, ([], []))]):
+        if held and (i < 0 or size + len(block[0]) > SECTION):
+            for (k, ws, line), proposed in zip(held, model.proposed([x for _, x, _ in held]), strict=True):
+                if proposed:
+                    out[k] += _confirmed(model, ws, line, proposed)
+            held, size = [], 0
+        held.append((i, *block))
+        size += len(block[0])
     return out
 
 
@@ -298,7 +389,7 @@ def _scanner(shared):
         model = shared.value
         for rows in slices(batches, 64):
             lines = [t.split("\n") for t in rows["text"]]
-            named = [_named(model, ls) for ls in lines]
+            named = _named(model, lines)
             flat = iter(_found(model, [x for n in named for x in n]))
             hits = [[(k, f, p) for (k, f, _), p in [(x, next(flat)) for x in n] if p >= MIN_PROBABILITY] for n in named]
             yield batch_of(

@@ -285,6 +285,44 @@ def test_licenses_that_differ_in_few_words(spark):
     assert got == {i: f for i, (_, f) in enumerate(texts)}
 
 
+def test_licenses_are_found_by_the_regression(spark):
+    """Every paragraph is scored: a notice whose name is damaged is found, and none where no window proposes its family."""
+    rng = random.Random(8)
+    filler = lambda n: [rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n)]
+    mit = "Permission is herby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    bsd = "Redistribution or use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    docs = [" ".join(filler(k) + [t] + filler(k)) for t in (mit, bsd) for k in (0, 9, 50, 20_000)]
+    got = license_scan.licenses(table(spark, [*enumerate(docs), (8, mit[:60]), (9, mit + "\n\nx\n" + bsd)])).collect()
+    assert {r["doc_id"]: (r["n_licensed"], r["families"]) for r in got} == {**{i: (1, "MIT" if i < 4 else "BSD-3-Clause") for i in range(8)}, 8: (0, ""), 9: (2, "BSD-3-Clause,MIT")}
+    model = license_scan.Model(["some words of the corpus"])
+    text = "Released under the MIT License."
+    assert [f for _, f, _ in license_scan._named(model, [[text]])[0]] == ["MIT"]
+    model.bias[license_scan.FAMILIES.index("MIT")] = -1e6
+    assert license_scan._named(model, [[text]]) == [[]]
+
+
+def test_license_windows():
+    """Windows have the probabilities of their words; anything up to half a window lies whole in one; sections are seamless."""
+    rng = random.Random(9)
+    model = license_scan.Model(["some words of the corpus"])
+    vocabulary = [w for _, t in license_scan.TEMPLATES for w in license_scan.words(t)]
+    docs = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 2, 4, 5, 8, 9, 33, 300, license_scan.SECTION + 500)]
+    for d, got in zip(docs, model.proposed(docs), strict=True):
+        want = {}
+        for k, w in enumerate(license_scan.WINDOWS):
+            if k and len(d) <= w // 2:
+                continue
+            for s in range(0, max(1, len(d) - w // 2), w // 2):
+                if len(d) > 1000 and not license_scan.SECTION - 400 < s < license_scan.SECTION + 300:
+                    continue
+                (p,) = model.probabilities([d[s : s + w]])
+                for f in range(1, len(p)):
+                    want.setdefault((s, min(s + w, len(d))), {})[f] = p[f] / (p[f] + p[0])
+        have = {(f, s, e) for f, x in got.items() for s, e in x}
+        for (s, e), p in want.items():
+            assert all((f, s, e) in have for f in p if p[f] > 0.501) and not any((f, s, e) in have for f in p if p[f] < 0.499), (len(d), s, e)
+
+
 def test_license_blocks():
     texts = ["a" * 10, "b" * (license_scan.BLOCK_CHARS + 5), "c", "d" * license_scan.BLOCK_CHARS, "e"]
     blocks = list(license_scan._blocks(texts))
