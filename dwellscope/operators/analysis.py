@@ -219,9 +219,12 @@ def weekday_contract(sums: DataFrame, mains: DataFrame, segments: DataFrame, pat
 
 
 def interactive(contract: DataFrame, weekdays: tuple[int, ...], hours: tuple[int, int], min_passages: float = 0.5) -> DataFrame:
-    """Chosen weekdays and an hour range: totals added up, then divided; null under ``min_passages`` a cell."""
+    """Chosen weekdays and an hour range: totals added up, then divided; null under ``min_passages`` a cell.
+
+    Totals are rounded to 1e-9, so that they and what they divide do not depend on the order of the rows.
+    """
     chosen = contract.where(F.col("dow").isin(*weekdays) & (F.col("hour") >= hours[0]) & (F.col("hour") < hours[1]))
-    out = chosen.groupBy("direction_id", "seg_idx", "seg_key").agg(*[F.sum(c).alias(c) for c in ("obs", "covered_h", "passages", "n_cells")])
+    out = chosen.groupBy("direction_id", "seg_idx", "seg_key").agg(*[F.round(F.sum(c), 9).alias(c) for c in ("obs", "covered_h", "passages")], F.sum("n_cells").alias("n_cells"))
     enough = (F.col("passages") > 0) & (F.col("passages") / F.col("n_cells") >= min_passages)
     return out.withColumn("obs_per_passage", F.when(enough, F.col("obs") / F.col("passages"))).withColumn("obs_per_h", _ratio(F.col("obs"), F.col("covered_h")))
 

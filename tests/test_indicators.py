@@ -1,6 +1,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+from dwellscope.operators import analysis
 from dwellscope.operators import indicators as ind
 from dwellscope.operators import tuning
 
@@ -58,3 +59,12 @@ def test_overlapping_compares_no_pairs(spark):
     # no join on the direction alone with rows of both sides: every join's other side has a row for each direction or part
     plan = tuning.overlapping(left, right)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
+
+
+def test_interactive_in_any_order(spark):
+    """Whatever the order of the rows, 1 / 25.6 is 0.0390625, which a sum of 25.600000000000005 would round down."""
+    hours = [0.1, 0.2, 0.3, 7.7, 0.7, 9.1, 1.1, 6.4]
+    for order in (hours, hours[::-1], sorted(hours), sorted(hours)[::-1], hours[4:] + hours[:4]):
+        cells = spark.createDataFrame([(0, 0, "s", 0, 8, 1.0 * (h == 7.7), h, 1.0, 3) for h in order], "direction_id int, seg_idx int, seg_key string, dow int, hour int, obs double, covered_h double, passages double, n_cells long")
+        (row,) = analysis.interactive(cells.coalesce(1), (0,), (7, 19)).collect()
+        assert (row["covered_h"], row["obs_per_h"], row["obs"], row["n_cells"]) == (25.6, 0.0390625, 1.0, 24)
